@@ -89,15 +89,22 @@ def fit(rows: list[tuple[str, str]], max_words: int = 200_000, max_grams: int =
     return model
 
 
-def training_sample(docs: DataFrame, max_rows: int = 1_500) -> list[tuple[str, str]]:
-    """At most ``max_rows`` (text, lang) rows a language, the lowest by a hash of the id."""
+def training_sample(docs: DataFrame, max_rows: int = 1_500, max_langs: int = 1_000) -> list[tuple[str, str]]:
+    """At most ``max_rows`` (text, lang) rows of each of the ``max_langs`` most frequent languages.
+
+    They are the lowest by a hash of the id.  The languages' sizes give the driver a threshold of that hash for
+    each, so that only some more rows than needed are moved.
+    """
     known = docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").count().withColumn("share", F.lit(1.5 * max_rows) / F.col("count") + 0.001).select("lang", "share")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not sizes:
+        return []
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * max_rows / r["count"] + 0.001))])
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    drawn = known.join(sizes, "lang").withColumn("lot", lot).where("lot <= share")
+    drawn = known.withColumn("lot", lot).where(F.col("lot") <= share[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("lot", "doc_id", "text")
     kept = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows)
-    return [(r["text"], r["lang"]) for r in kept.select("text", "lang", "lot", "doc_id").orderBy("lang", "lot", "doc_id", "text").toLocalIterator()]
+    return [(r["text"], r["lang"]) for r in kept.orderBy("lang", "place").select("text", "lang").toLocalIterator()]
 
 
 class _Rows(dict):

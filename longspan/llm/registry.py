@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_toxicity", "q_lines", "q_language", "q_packing", "q_media")
+MODULES = ("q_toxicity", "q_lines", "q_licenses", "q_language", "q_packing", "q_media", "q_decontam")
 
 
 def _modules() -> list:
