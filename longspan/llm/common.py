@@ -65,7 +65,7 @@ def slices(texts: list, rows: int = 512, size: int = 4_000_000) -> Iterator[tupl
     """Ranges of ``texts`` of at most ``rows`` entries and about ``size`` characters (one entry at least)."""
     start = total = 0
     for i, x in enumerate(texts):
-        n = len(x) if x else 0
+        n = 0 if x is None else len(x)
         if i > start and (i - start >= rows or total + n > size):
             yield start, i
             start, total = i, 0
