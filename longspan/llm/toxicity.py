@@ -230,21 +230,20 @@ def fit(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled rows of each class, the lowest by a hash of id and text; ``docs`` is already the training fold.
+    """At most ``max_rows`` labelled rows of each class, the lowest by a hash of the id; ``docs`` is already the training fold.
 
-    Before texts are read, ids are cut down by a hash threshold taken from the classes' counts.
+    The ids are chosen from the labels alone and are at most ``2 * max_rows``, so they are broadcast and no
+    text is shuffled but those chosen.
     """
     marks = labels.selectExpr("CAST(doc_id AS bigint) doc_id", "CAST(toxic AS int) toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    share = lambda t: min(1.0, 1.5 * max_rows / max(1, sizes.get(t, 0)))
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    marks = marks.withColumn("lot", lot).where(F.col("lot") <= F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
-    rows = docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text").where("text IS NOT NULL").join(marks, "doc_id")
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    chosen = [marks.where(F.col("toxic") == t).withColumn("lot", lot).orderBy("lot", "doc_id").limit(max_rows) for t in (0, 1)]
+    rows = docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text").where("text IS NOT NULL")
     out = []
-    for t in (0, 1):
-        part = rows.where(F.col("toxic") == t).orderBy("lot", "doc_id", "text").limit(max_rows).select("text")
-        out += [(r["text"], t) for r in part.toLocalIterator()]
+    for t, ids in enumerate(chosen):
+        part = rows.join(F.broadcast(ids.select("doc_id", "lot")), "doc_id").orderBy("lot", "doc_id", "text").limit(max_rows)
+        out += [(r["text"], t) for r in part.select("text").toLocalIterator()]
     return out
 
 
