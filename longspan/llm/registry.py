@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_toxicity", "q_lines", "q_licenses", "q_language", "q_neardup", "q_packing", "q_media", "q_substring", "q_decontam")
+MODULES = (
+    "q_toxicity",
+    "q_lines",
+    "q_licenses",
+    "q_language",
+    "q_neardup",
+    "q_packing",
+    "q_media",
+    "q_substring",
+    "q_lm",
+    "q_decontam",
+)
 
 
 def _modules() -> list:
