@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,7 +49,7 @@ def fold_of(doc_id: int | None, n: int) -> int:
 
 
 def over_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once a task and returns the function of a batch."""
 
@@ -72,3 +73,12 @@ def slices(texts: list, rows: int = 512, size: int = 4_000_000) -> Iterator[tupl
         total += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not among ``ids``.
+
+    The ids are written first, so that the join knows their size: it is a broadcast only below Spark's threshold.
+    """
+    gone = materialise(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), name)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

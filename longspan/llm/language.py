@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import over_batches
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 ORDERS = (5, 4, 3, 2, 1)
-SCHEMA = "doc_id bigint, lang_pred string, score double"
 
 
 @dataclass
@@ -144,20 +144,32 @@ def predict_text(rows: _Rows, text: str | None, tempered: int = 20) -> tuple[str
     return rows.model.langs[best], float(odds[best] / odds.sum())
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row."""
+def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` but any of these names, then ``lang_pred`` and ``score``."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    place, names = docs.columns.index("text"), schema.names
 
     def make():
         rows = _Rows(shared.value)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [predict_text(rows, x) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
+            found = [predict_text(rows, x) for x in batch.column(place).to_pylist()]
+            more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
         return f
 
-    return over_batches(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), make, SCHEMA)
+    return over_batches(docs, make, schema)
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row."""
+    return annotate(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), model).drop("text")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows whose language is recognised with ``least`` confidence; a missing ``lang`` is filled in."""
+    found = annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

@@ -48,18 +48,30 @@ def drop_boilerplate(
     docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """``doc_id, host, text, n_lines, n_removed`` with boilerplate lines taken out."""
-    pages = docs.select("doc_id", F.col(host).alias("host"), "text")
-    found = materialise(boilerplate(pages, max_ratio, min_pages), "boilerplate").withColumnRenamed("host", "found_host")
-    joined = pages.join(found, F.col("host").eqNullSafe(F.col("found_host")), "left")
+    return _cleaned(docs.select("doc_id", F.col(host).alias("host"), "text"), max_ratio, min_pages).drop("kept", "hit", "keys")
+
+
+def clean_documents(
+    docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, its other columns as they are but for ``n_chars``."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("host"), "text")
+    cleaned = _cleaned(row, max_ratio, min_pages)
+    own = [F.col("text") if c == "text" else F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return cleaned.select(*own)
+
+
+def _cleaned(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    found = materialise(boilerplate(pages.select("host", "text"), max_ratio, min_pages), "boilerplate").withColumnRenamed("host", "found_host")
+    joined = pages.join(found, F.col("host").eqNullSafe(F.col("found_host")), "left").drop("found_host")
     none = F.array().cast("array<bigint>")
     marked = joined.withColumn("hit", F.when(F.col("keys").isNull(), none).otherwise(F.array_intersect(_keys(F.col("text")), "keys")))
     lines = _lines(F.col("text"))
     kept = F.when(F.size("hit") <= 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("hit", F.xxhash64(x))))
-    sized = marked.withColumn("kept", kept)
-    return sized.select(
-        "doc_id",
-        "host",
-        F.array_join("kept", "\n").alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("kept")).cast("bigint").alias("n_removed"),
+    size = lambda x: F.when(F.col("text").isNull(), 0).otherwise(x).cast("bigint")
+    return (
+        marked.withColumn("kept", kept)
+        .withColumn("n_lines", size(F.size(lines)))
+        .withColumn("n_removed", size(F.size(lines) - F.size("kept")))
+        .withColumn("text", F.array_join("kept", "\n"))
     )
