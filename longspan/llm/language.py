@@ -144,11 +144,11 @@ def predict_text(rows: _Rows, text: str | None, tempered: int = 20) -> tuple[str
     return rows.model.langs[best], float(odds[best] / odds.sum())
 
 
-def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` but any of these names, then ``lang_pred`` and ``score``."""
-    docs = docs.drop("lang_pred", "score")
+def annotate(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` but any of these two names, then the predicted language and its score."""
+    docs = docs.drop(lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
     place, names = docs.columns.index("text"), schema.names
 
     def make():
@@ -171,5 +171,5 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with ``least`` confidence; a missing ``lang`` is filled in."""
-    found = annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = annotate(docs, model, "_found_lang", "_found_score").where((F.col("_found_lang") != "und") & (F.col("_found_score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "_found_lang")).select(*docs.columns)
