@@ -113,13 +113,13 @@ def clock(seconds: Column) -> tuple[Column, Column, Column]:
     return F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
 
 
-def packed_name(path: Column, suffix: str = ".lrz", folder: str = "") -> Column:
+def packed_name(path: Column, suffix: str = ".lsp", folder: str = "") -> Column:
     """Where a packed file goes: its own name with the suffix, in ``folder`` if given."""
     base = F.element_at(F.split(path, "/"), -1) if folder else path
     return F.concat(F.lit(folder.rstrip("/") + "/" if folder else ""), base, F.lit(suffix))
 
 
-def unpacked_name(path: Column, suffix: str = ".lrz", folder: str = "") -> Column:
+def unpacked_name(path: Column, suffix: str = ".lsp", folder: str = "") -> Column:
     """The name without the suffix; a name without it gets ``.out`` instead."""
     base = F.element_at(F.split(path, "/"), -1) if folder else path
     cut = F.when(F.endswith(base, F.lit(suffix)), F.left(base, F.length(base) - len(suffix))).otherwise(F.concat(base, F.lit(".out")))

@@ -18,7 +18,7 @@ from .digests import digest_bytes
 from .filters import apply_filter
 from .parse import Parser, from_streams, rebuild, to_streams
 
-MAGIC = b"LRZI"
+MAGIC = bytes((76, 82, 90, 73))
 HEADER_BYTES = {6: 24, 7: 24, 8: 18, 9: 20, 10: 20, 11: 21, 12: 21, 13: 21, 14: 21}
 FILTER_NAMES = {1: "x86", 2: "arm", 3: "armt", 4: "ppc", 5: "sparc", 6: "ia64", 7: "arm64", 8: "riscv"}
 EARLY_FILTERS = {1: "x86", 2: "arm", 3: "armt", 4: "ppc", 5: "sparc", 6: "ia64"}

@@ -74,7 +74,7 @@ class Options:
     block_bytes: int = 10 << 20
     comment: str = ""
     zstd_level: int = 0
-    suffix: str = ".lrz"
+    suffix: str = ".lsp"
     output: str = ""
     output_dir: str = ""
     keep_broken: bool = False

@@ -312,7 +312,7 @@ def size_rules(spark, sf):
     )
 
 
-@_query("""SELECT page_id, url || '.lrz' AS packed, CASE WHEN url LIKE '%.lrz' THEN left(url, length(url) - 4) ELSE url || '.out' END AS plain, '/out/' || list_extract(string_split(url, '/'), -1) || '.lrz' AS in_folder FROM pages""")
+@_query("""SELECT page_id, url || '.lsp' AS packed, CASE WHEN url LIKE '%.lsp' THEN left(url, length(url) - 4) ELSE url || '.out' END AS plain, '/out/' || list_extract(string_split(url, '/'), -1) || '.lsp' AS in_folder FROM pages""")
 def name_rules(spark, sf):
     url = F.col("url")
     return table(spark, sf, "pages").select("page_id", S.packed_name(url).alias("packed"), S.unpacked_name(url).alias("plain"), S.packed_name(url, folder="/out").alias("in_folder"))

@@ -170,7 +170,7 @@ def test_archives(name, options):
 
 def header(minor: int, body: dict[int, int], note: bytes = b"") -> bytes:
     b = bytearray(container.HEADER_BYTES[minor])
-    b[:6] = b"LRZI" + bytes([0, minor])
+    b[:6] = container.MAGIC + bytes([0, minor])
     b[6:14] = (1234).to_bytes(8, "little")
     for k, v in body.items():
         b[k] = v

@@ -132,7 +132,7 @@ def test_files_round_trip(spark, tmp_path):
     rows = files.binary_files(spark, str(tmp_path / "in"))
     assert rows.count() == 2
     written = files.write_files(container.packed(rows, o), str(tmp_path / "out"), o).collect()
-    assert sorted(os.path.basename(r.path) for r in written) == ["a.txt.lrz", "b.bin.lrz"]
+    assert sorted(os.path.basename(r.path) for r in written) == ["a.txt.lsp", "b.bin.lsp"]
     back = container.unpacked(files.binary_files(spark, str(tmp_path / "out")))
     files.write_files(back, str(tmp_path / "again"), Options(), unpack=True).collect()
     assert (tmp_path / "again" / "a.txt").read_bytes() == b"hello " * 1000
@@ -142,7 +142,7 @@ def test_files_round_trip(spark, tmp_path):
     out = io.BytesIO()
     assert files.to_stdout(chunks.cut(bin_rows(spark, b"abcdefghij" * 3), 7), out) == 30 and out.getvalue() == b"abcdefghij" * 3
     with pytest.raises(ValueError):
-        files.target_name("x.lrz", Options())
+        files.target_name("x.lsp", Options())
 
 
 def test_config_table_and_csv(spark, tmp_path):
