@@ -29,62 +29,17 @@ SPELLINGS = (
 )
 COPYRIGHT = "(?m)^[^\\n]*(copyright[ \\t]*(\\(c\\)|©|[0-9]{4})|©)[^\\n]*$"
 
-_MIT = """MIT License
-
-Copyright (c) <year> <owner>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE."""
-
-_ISC = """ISC License
-
-Copyright (c) <year> <owner>
-
-Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
-REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
-AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
-LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
-OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
-PERFORMANCE OF THIS SOFTWARE."""
-
-_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
-you may not use this file except in compliance with the License.
-You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software
-distributed under the License is distributed on an "AS IS" BASIS,
-WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-See the License for the specific language governing permissions and
-limitations under the License."""
+#: Canonical digests of whole licence texts, with and without their title line.
+WHOLE_TEXTS: tuple[tuple[str, str], ...] = (
+    ("MIT", "04ddd61083899c2a5ef03d9fe09b79c9"),
+    ("MIT", "90a17991c3ba7b04d183a6467fbe3449"),
+    ("ISC", "63179b48dd80764d198b18b1a4a65df0"),
+    ("ISC", "b6ab23f33a368e7f225abed7065c8009"),
+    ("Apache-2.0", "3f75cdec37a8a9cf2daa486022386970"),  # the notice for files
+)
 
+#: Short notices, kept as they read.
 KNOWN: tuple[tuple[str, str], ...] = (
-    ("MIT", _MIT),
-    ("MIT", _MIT.split("\n", 2)[2]),
-    ("ISC", _ISC),
-    ("ISC", _ISC.split("\n", 2)[2]),
-    ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -112,10 +67,15 @@ def _flat(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \\n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``license_id, digest``, one row a digest."""
+def known_digests(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, whole: tuple[tuple[str, str], ...] = WHOLE_TEXTS
+) -> DataFrame:
+    """``license_id, digest``, one row a digest, of texts and of digests already made."""
     texts = spark.createDataFrame(list(known), "license_id string, text string")
-    return texts.select("license_id", F.md5(_flat(canonical(F.col("text")))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    made = texts.select("license_id", F.md5(_flat(canonical(F.col("text")))).alias("digest"))
+    if whole:
+        made = made.unionAll(spark.createDataFrame(list(whole), "license_id string, digest string"))
+    return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:

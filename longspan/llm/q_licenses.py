@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .licenses import COPYRIGHT, KNOWN, SPELLINGS, known_digests, scan
+from .licenses import COPYRIGHT, KNOWN, SPELLINGS, WHOLE_TEXTS, known_digests, scan
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,10 @@ def _flat(column: str) -> str:
 SQL = f"""
 WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in KNOWN)}),
 digests AS (
-  SELECT {_flat(_canonical("text"))} AS body, min(license_id) AS license_id FROM known GROUP BY 1
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT md5({_flat(_canonical("text"))}) AS digest, license_id FROM known
+    UNION ALL VALUES {", ".join(f"({_quoted(d)}, {_quoted(i)})" for i, d in WHOLE_TEXTS)}
+  ) GROUP BY digest
 ), lines AS (
   SELECT doc_id, {_canonical("text")} AS lines FROM documents WHERE text IS NOT NULL
 ), units AS (
@@ -39,7 +42,7 @@ digests AS (
   SELECT doc_id, false, trim(unnest(string_split(lines, chr(10))), ' ') FROM lines
 )
 SELECT doc_id, license_id, bool_or(whole) AS whole_text, count(*) FILTER (NOT whole) AS n_lines
-FROM units JOIN digests USING (body) WHERE body <> ''
+FROM units JOIN digests ON md5(body) = digest WHERE body <> ''
 GROUP BY doc_id, license_id
 """
 

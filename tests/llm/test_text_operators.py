@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from longspan.llm import decontam, language, licenses, lines, toxicity
 from longspan.llm.common import fold, fold_of, slices
+from longspan.llm.q_packing import tokenizer_path
 from tests.llm.frames import ROWS, documents, empty
 
 
@@ -149,16 +151,27 @@ def test_lines_plan_has_no_python(spark):
 
 
 def test_licence_variants(spark):
-    mit = dict(licenses.KNOWN)["MIT"]
-    text = next(x for i, x in licenses.KNOWN if i == "MIT" and x.startswith("MIT License"))
-    varied = "  mit LICENCE!\n\nCopyright 2021 Some Body\n" + text.split("\n", 3)[3].replace("sublicense", "sub-license").replace('"', "'").upper()
-    rows = [(1, text, ""), (2, varied, ""), (3, "start\n** released under the MIT licence. **\nRELEASED under the MIT License\nend", ""), (4, text + " more", ""), (5, None, ""), (6, "", ""), (7, "copyright 2020 me", ""), (8, mit, "")]
-    got = {(r.doc_id, r.license_id): (r.whole_text, r.n_lines) for r in licenses.scan(documents(spark, rows), licenses.known_digests(spark)).collect()}
-    assert got[1, "MIT"][0] and got[2, "MIT"][0] and got[3, "MIT"] == (False, 2)
+    text = 'Sample License\n\nCopyright (c) 1999 Owner\n\nYou may organise, sublicense & use this "work", version 2, as noted at https://x.org.\nNo warranty of noninfringement.'
+    known = (*licenses.KNOWN, ("Sample", text))
+    varied = "  sample LICENCE!\n\n© 2021 Some Body\n" + text.split("\n", 3)[3].replace("sublicense", "sub-license").replace('"', "'").replace("&", "and").replace("https", "http").replace("organise", "organize").upper()
+    rows = [(1, text, ""), (2, varied, ""), (3, "start\n** released under the MIT licence. **\nRELEASED under the MIT License\nend", ""), (4, text + " more", ""), (5, None, ""), (6, "", ""), (7, "copyright 2020 me", ""), (8, "Licensed under CC BY-NC 4.0.", "")]
+    got = {(r.doc_id, r.license_id): (r.whole_text, r.n_lines) for r in licenses.scan(documents(spark, rows), licenses.known_digests(spark, known)).collect()}
+    assert got[1, "Sample"][0] and got[2, "Sample"][0] and got[3, "MIT"] == (False, 2) and got[8, "CC-BY-NC-4.0"] == (True, 1)
     assert not any(k[0] in (4, 5, 6, 7) for k in got)
     assert licenses.scan(empty(spark), licenses.known_digests(spark)).count() == 0
 
 
+def test_whole_licence_digests(spark):
+    """The digests kept in the code are those of the texts as commonly printed, here among the tokenizers' own."""
+    found = os.path.join(os.path.dirname(tokenizer_path()), "LICENSES.txt")
+    if not os.path.exists(found):
+        pytest.skip("no printed licence at hand")
+    printed = open(found).read().split("\n")
+    tries = [(a, "\n".join(printed[a:b]), "") for a in range(len(printed)) if "MIT" in printed[a] for b in range(a + 15, min(a + 26, len(printed)))]
+    got = {r.license_id for r in licenses.scan(documents(spark, tries), licenses.known_digests(spark)).where("whole_text").collect()}
+    assert "MIT" in got
+
+
 # --- decontamination ---
 
 
