@@ -40,6 +40,11 @@ def _cbc(data: Column, key: Column, iv: Column) -> Column:
     return _cut(out, 17, F.octet_length(out) - 16)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: as the variable of a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _zeros(n: Column) -> Column:
     return F.unhex(F.repeat(F.lit("00"), n))
 
@@ -48,11 +53,10 @@ def encrypt(data: Column, key: Column, iv: Column) -> Column:
     """CBC-CS3 of a binary column of 16 bytes or more."""
     size = F.octet_length(data)
     rest = F.pmod(size - 1, F.lit(16)) + 1  # bytes in the last block, 1 to 16
-    padded = F.concat(data, _zeros(16 - rest))
-    raw = _cut(_cbc(padded, key, iv), 1, size + 16 - rest)
     blocks = size + 16 - rest
-    swapped = F.concat(_cut(raw, 1, blocks - 32), _cut(raw, blocks - 15, 16), _cut(raw, blocks - 31, rest))
-    return F.when(size < 16, F.raise_error(F.lit("ciphertext stealing needs 16 bytes")).cast("binary")).when(size == 16, _cut(raw, 1, 16)).otherwise(swapped)
+    swapped = lambda raw: F.concat(_cut(raw, 1, blocks - 32), _cut(raw, blocks - 15, 16), _cut(raw, blocks - 31, rest))
+    done = _let(_cbc(F.concat(data, _zeros(16 - rest)), key, iv), lambda raw: F.when(size == 16, _cut(raw, 1, 16)).otherwise(swapped(raw)))
+    return F.when(size < 16, F.raise_error(F.lit("ciphertext stealing needs 16 bytes")).cast("binary")).otherwise(done)
 
 
 def _xor(a: Column, b: Column, n: int = 16) -> Column:
@@ -64,19 +68,15 @@ def _xor(a: Column, b: Column, n: int = 16) -> Column:
     return F.unhex(F.concat(*parts))
 
 
-def _raw_block(block: Column, key: Column) -> Column:
-    """The cipher's inverse of one block: CBC decryption under a zero IV of the block and a padding block after it."""
+def _opened(data: Column, key: Column, iv: Column) -> Column:
+    """CBC decryption of whole blocks, by way of a block of padding put behind them."""
     zero = F.unhex(F.lit("00" * 16))
-    tail = _cut(_cbc(_xor(F.unhex(F.lit("10" * 16)), block), key, zero), 1, 16)
-    return F.aes_decrypt(F.concat(zero, block, tail), key, F.lit("CBC"), F.lit("DEFAULT"))
 
+    def padded(d: Column) -> Column:
+        tail = _cut(_cbc(_xor(F.unhex(F.lit("10" * 16)), _cut(d, F.octet_length(d) - 15, 16)), key, zero), 1, 16)
+        return F.aes_decrypt(F.concat(iv, d, tail), key, F.lit("CBC"), F.lit("DEFAULT"))
 
-def _decrypt_whole(data: Column, key: Column, iv: Column) -> Column:
-    """CBC decryption of whole blocks."""
-    last = _cut(data, F.octet_length(data) - 15, 16)
-    zero = F.unhex(F.lit("00" * 16))
-    tail = _cut(_cbc(_xor(F.unhex(F.lit("10" * 16)), last), key, zero), 1, 16)
-    return F.aes_decrypt(F.concat(iv, data, tail), key, F.lit("CBC"), F.lit("DEFAULT"))
+    return _let(data, padded)
 
 
 def decrypt(data: Column, key: Column, iv: Column) -> Column:
@@ -86,7 +86,6 @@ def decrypt(data: Column, key: Column, iv: Column) -> Column:
     front = size - rest - 16  # bytes before the last two blocks
     final = _cut(data, front + 1, 16)
     stolen = _cut(data, front + 17, rest)
-    opened = _raw_block(final, key)
-    before = F.concat(stolen, _cut(opened, rest + 1, 16 - rest))
-    whole = F.concat(_cut(data, 1, front), before, final)
-    return F.when(size < 16, F.raise_error(F.lit("ciphertext stealing needs 16 bytes")).cast("binary")).when(size == 16, _decrypt_whole(data, key, iv)).otherwise(_cut(_decrypt_whole(whole, key, iv), 1, size))
+    whole = _let(_opened(final, key, F.unhex(F.lit("00" * 16))), lambda o: F.concat(_cut(data, 1, front), stolen, _cut(o, rest + 1, 16 - rest), final))
+    done = F.when(size == 16, _opened(data, key, iv)).otherwise(_cut(_opened(whole, key, iv), 1, size))
+    return F.when(size < 16, F.raise_error(F.lit("ciphertext stealing needs 16 bytes")).cast("binary")).otherwise(done)
