@@ -229,7 +229,7 @@ def test_decontamination_tables(spark):
     assert decontam.find_items(documents(spark), items.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ("op2_line_dedup", "op3_license_scan"))
+@pytest.mark.parametrize("name", ("op2_line_dedup", "op3_license_scan", "op5_minhash_neardup", "op8_substring_dedup"))
 def test_queries_match_their_sql(spark, name):
     from longspan.llm import registry
     from tests.helpers import SF, same
