@@ -10,6 +10,7 @@ Tokens are (kind, out_pos, length, distance), kind 0 literal, 1 match; their wir
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,6 @@ from pyspark.sql import DataFrame
 from ..functions.tags import rolling_tags
 from ..options import GREAT_MATCH, LONGEST_TOKEN, MATCH_LEVELS, MINIMUM_MATCH
 
-ENTRY_BYTES = 16
-
 
 def _common(data: memoryview, a: int, b: int, limit: int) -> int:
     """Length of the common run of data[a:] and data[b:], at most ``limit``: whole slices, then a bisection."""
@@ -47,76 +46,101 @@ def _common_back(data: memoryview, a: int, b: int, limit: int) -> int:
     return n
 
 
+def _gram_hashes(data: bytes) -> np.ndarray:
+    """An order-sensitive 64-bit hash of the ``MINIMUM_MATCH`` bytes from each place on, by doubling."""
+    n = len(data) - MINIMUM_MATCH + 1
+    part = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out, done, size, left = None, 0, 1, MINIMUM_MATCH
+    with np.errstate(over="ignore"):
+        while left:
+            if left & 1:
+                out = part[:n].copy() if out is None else (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + part[done : done + n]
+                done += size
+            left >>= 1
+            if left:
+                part = (part[:-size] ^ (part[:-size] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + part[size:]
+                size *= 2
+    return out
+
+
 class Parser:
-    """Greedy parse of one chunk at a level; ``stats`` tells what the anchor table did."""
+    """Greedy parse of one chunk at a level; ``stats`` tells what the sampled places met.
+
+    Instead of filling a table byte by byte, the sampled places are sorted once by the hash of their bytes, which
+    links each to the nearest earlier place with the same bytes.  The scan then visits only places with a link and
+    jumps over what a match covers; a place follows as many links as the level keeps equal anchors.
+    """
 
     def __init__(self, level: int = 7):
-        size, bits, self.keep = MATCH_LEVELS[level]
-        self.bits = bits
-        entries = 1 << max(0, (size * (1 << 20) // ENTRY_BYTES - 1).bit_length())
-        self.limit = entries // 3 * 2
+        _, self.bits, self.keep = MATCH_LEVELS[level]
+
+    def _linked(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(sampled places, index of the nearest earlier place with the same bytes or -1)."""
+        tags = rolling_tags(data)
+        low = (1 << self.bits) - 1
+        places = np.flatnonzero((tags & low) == low)
+        places = places[(places > 0) & (places <= len(data) - MINIMUM_MATCH)]
+        link = np.full(len(places), -1)
+        if len(places):
+            grams = _gram_hashes(data)[places]
+            order = np.argsort(grams, kind="stable")
+            same = grams[order[1:]] == grams[order[:-1]]
+            link[order[1:][same]] = order[:-1][same]
+            seen = np.ones(len(places), bool)
+            seen[np.unique(tags[places], return_index=True)[1]] = False
+            self.stats["tag_misses"] = int((seen & (link < 0)).sum())
+        return places, link
 
     def tokens(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        self.stats = dict.fromkeys(("inserts", "probes", "tag_hits", "tag_misses", "sweeps"), 0)
+        self.stats = dict.fromkeys(("inserts", "probes", "tag_hits", "tag_misses"), 0)
         out: list[tuple[int, int, int, int]] = []
         n = len(data)
         end = n - MINIMUM_MATCH
         view = memoryview(data)
-        tags = rolling_tags(data)
-        low = (1 << self.bits) - 1
-        places = np.flatnonzero((tags & low) == low)
-        places = places[(places > 0) & (places <= end)]
-        marks = tags[places].tolist()
-        places = places.tolist()
-        table: dict[int, list[int]] = {}
-        held, mask, last, i = 0, low, 0, 0
+        sampled, links = self._linked(data)
+        self.stats["inserts"] = len(sampled)
+        places, link = sampled.tolist(), links.tolist()
+        visit = np.flatnonzero(links >= 0)
+        at_visit, visit = sampled[visit].tolist(), visit.tolist()
+        last = i = 0
         best_at = best_from = best_len = 0
 
         def emit() -> None:
-            nonlocal last
+            nonlocal last, best_len
             if last < best_at:
                 out.append((0, last, best_at - last, 0))
             out.append((1, best_at, best_len, best_at - best_from))
-            last = best_at + best_len
-
-        while i < len(places):
-            p, mark = places[i], marks[i]
-            i += 1
-            if p <= last and last:
+            last, best_len = best_at + best_len, 0
+
+        while i < len(visit):
+            p = at_visit[i]
+            if best_len and p > best_at + MINIMUM_MATCH:
+                # a sampled place without a link, between there and here, would have closed the pending match
+                s = bisect_left(places, best_at + MINIMUM_MATCH)
+                if places[s] < p:
+                    emit()
+            if last and p <= last:
+                i = bisect_right(at_visit, last, i)
                 continue
             self.stats["probes"] += 1
-            chain = table.get(mark)
-            found = 0
-            for q in chain or ():
+            j, found, source, reach = link[visit[i]], 0, 0, 0
+            for _ in range(self.keep):
+                if j < 0:
+                    break
+                q = places[j]
                 ahead = _common(view, q, p, end - p)
-                back = _common_back(view, q, p, min(q, p - last)) if ahead else 0
+                back = _common_back(view, q, p, min(q, p - last)) if ahead or p == end else 0
                 if ahead + back >= MINIMUM_MATCH:
                     self.stats["tag_hits"] += 1
                     if ahead + back > found:
                         found, source, reach = ahead + back, q - back, back
-                else:
-                    self.stats["tag_misses"] += 1
-            if mark & mask == mask:
-                self.stats["inserts"] += 1
-                if chain is None:
-                    table[mark] = [p]
-                    held += 1
-                elif len(chain) < self.keep:
-                    chain.append(p)
-                    held += 1
-                else:
-                    chain[self.stats["inserts"] % self.keep] = p
-                if held > self.limit:
-                    mask = mask << 1 | 1
-                    self.stats["sweeps"] += 1
-                    table = {t: c for t, c in table.items() if t & mask == mask}
-                    held = sum(map(len, table.values()))
+                j = link[j]
+            i += 1
             if found > best_len:
                 best_at, best_from, best_len = p - reach, source, found
-            if best_len >= MINIMUM_MATCH and (best_len >= GREAT_MATCH or p >= best_at + MINIMUM_MATCH):
+            if best_len >= GREAT_MATCH or best_len and p >= best_at + MINIMUM_MATCH:
                 emit()
-                best_at, best_len = last, 0
-        if best_len >= MINIMUM_MATCH:
+        if best_len:
             emit()
         if last < n:
             out.append((0, last, n - last, 0))
