@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -48,18 +50,46 @@ def fold_of(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
+def _libc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that gives unused memory back to the system when its task ends.
+
+    Workers live on for the next stage; without this each would keep the largest heap that any stage needed.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := _libc_trim()) is not None:
+                trim(0)
+
+    return wrapped
+
+
 def over_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 1_000
 ) -> DataFrame:
-    """``mapInArrow`` with per-task state: ``make()`` runs once a task and returns the function of a batch."""
+    """``mapInArrow`` with per-task state: ``make()`` runs once a task and returns the function of a batch.
+
+    Batches are handed on ``rows`` rows at a time, so that few texts are Python objects at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield f(batch.slice(at, rows))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(texts: list, rows: int = 512, size: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -110,7 +110,7 @@ def training_sample(docs: DataFrame, max_rows: int = 1_500, max_langs: int = 1_0
 class _Rows(dict):
     """Word -> row of a matrix that fills on demand; starts anew when full."""
 
-    def __init__(self, model: LanguageModel, limit: int = 300_000):
+    def __init__(self, model: LanguageModel, limit: int = 150_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.matrix = np.zeros((limit, len(model.langs)), np.float32)

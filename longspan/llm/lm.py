@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, over_batches, slices
+from .common import materialise, over_batches, slices, tidy
 from .wordhash import _SPACE, encode, mix, word_hashes
 
 TAIL_CLASSES, HEAD_CLASSES, BLOCK = 16, 32, 64
@@ -90,7 +90,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if held:
             yield summed(held)
 
-    return texts.select("text").mapInArrow(run, COUNTS).groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), COUNTS).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -256,7 +256,7 @@ def train_round(texts: DataFrame, model: Model, offset: int, stride: int) -> Mod
             body = (change / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"])
 
-    changes = texts.select("text").mapInArrow(run, "chunk int, body binary").repartition("chunk").mapInArrow(add, "chunk int, body binary")
+    changes = texts.select("text").mapInArrow(tidy(run), "chunk int, body binary").repartition("chunk").mapInArrow(tidy(add), "chunk int, body binary")
     out = Model(model.token, model.count, model.slot, model.bias1, model.bias2, model.w1.copy(), model.w2.copy())
     for r in changes.toLocalIterator():
         wide, table = (CLASSES, out.w1) if r["chunk"] < 1000 else (BLOCK, out.w2)

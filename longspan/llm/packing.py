@@ -138,18 +138,23 @@ class _Either(dict):
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> ChunkTokenizer:
+def tokenizer_of(path: str, limit: int) -> ChunkTokenizer:
     """One per Python worker, so that later tasks of the worker find its cache."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
+        _TOKENIZERS[path] = ChunkTokenizer(path, limit)
     return _TOKENIZERS[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of at most ``capacity`` ids, with the checksum of its ids."""
+def pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS
+) -> DataFrame:
+    """One row per piece of at most ``capacity`` ids, with the checksum of its ids.
+
+    ``cache_words`` bounds what a worker keeps coded (about 250 bytes each); results don't depend on it.
+    """
 
     def make():
-        encode = tokenizer_of(tokenizer_path)
+        encode = tokenizer_of(tokenizer_path, cache_words)
         end = np.array([end_id], "<u4").tobytes()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,7 +171,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
         return f
 
-    return over_batches(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), make, PIECES)
+    return over_batches(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), make, PIECES, 5_000)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .fmindex import FMIndex
 from .wordhash import _INVERSE, _MULTIPLIER, encode, mix, word_hashes
 
@@ -331,9 +331,9 @@ def remove_repeats(
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     by_group = grouped.groupBy("grp")
-    repeated = by_group.applyInArrow(anchors, "anchor bigint, grp int, often boolean").repartition("anchor").mapInArrow(_twice, ANSWER)
+    repeated = by_group.applyInArrow(anchors, "anchor bigint, grp int, often boolean").repartition("anchor").mapInArrow(tidy(_twice), ANSWER)
     stretches = by_group.cogroup(repeated.groupBy("grp")).applyInArrow(contents, "content bigint, grp int, doc bigint, start int")
-    firsts = stretches.repartition("content").mapInArrow(_earliest, ANSWER)
+    firsts = stretches.repartition("content").mapInArrow(tidy(_earliest), ANSWER)
     sent = by_group.cogroup(firsts.groupBy("grp")).applyInArrow(words, WORDS)
-    cover = sent.repartition("anchor").sortWithinPartitions("anchor", "doc", "start", "row").mapInArrow(_index_shard(window, index_words), COVER)
+    cover = sent.repartition("anchor").sortWithinPartitions("anchor", "doc", "start", "row").mapInArrow(tidy(_index_shard(window, index_words)), COVER)
     return by_group.cogroup(cover.groupBy("grp")).applyInArrow(removal, RESULT)
