@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Fitting.  Labelled texts give, for each word and each word's prefixes, how often it stands in toxic and in
-other text; each distinct line counts once, so that groups of copies don't pass for evidence.  The score of a
+Fitting.  Labelled texts give, for each word and each word's prefixes, in how many lines of toxic and of other
+text it stands; each distinct line counts once, so that groups of copies don't pass for evidence, nor does a word
+that is repeated over and over, in fitting or in scoring.  The score of a
 term is its log-odds under an informative Dirichlet prior (the pooled counts, scaled), less ``z`` standard
 deviations.  A word with enough counts of its own uses them, any other backs off to its longest scored prefix;
 everything else costs ``base``.  The expected score of a word of clean text is therefore negative.
@@ -47,7 +48,7 @@ class ToxicityModel:
     base: float = -0.5
     rate: float = 1.0
     log_k: float = 0.0
-    e_max: float = 0.5
+    e_max: float = 0.1
     bias: float = -20.0
     slope: float = 0.0
 
@@ -115,14 +116,14 @@ def _squash(x: float) -> float:
 
 
 def _lines(rows: list[tuple[str, int]]) -> tuple[Counter, Counter]:
-    """Word counts of the toxic and the other texts, each distinct line once."""
+    """In how many distinct lines of the toxic and of the other texts each word stands."""
     seen: set[str] = set()
     counts = (Counter(), Counter())
     for text, toxic in rows:
         for line in text.lower().split("\n"):
             if line not in seen:
                 seen.add(line)
-                counts[toxic].update(WORDS(line))
+                counts[toxic].update(set(WORDS(line)))
     return counts[1], counts[0]
 
 
@@ -169,9 +170,21 @@ def fit_terms(
     return model
 
 
+def word_scores(get, text: str, base: float) -> np.ndarray:
+    """Scores of a text's words in order; a positive word counts once a text, later ones cost ``base``."""
+    words = WORDS(text.lower())
+    scores = np.fromiter(map(get, words), float, len(words))
+    seen: set[str] = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if words[i] in seen:
+            scores[i] = base
+        seen.add(words[i])
+    return scores
+
+
 def _scored(model: ToxicityModel, texts: list[str]) -> list[np.ndarray]:
     get = _Scores(model).__getitem__
-    return [np.fromiter(map(get, words), float, len(words)) for words in (WORDS(x.lower()) for x in texts)]
+    return [word_scores(get, x, model.base) for x in texts]
 
 
 def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray) -> None:
@@ -204,7 +217,7 @@ def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray
 def fit(
     rows: list[tuple[str, int]],
     strength: float = 0.03,
-    z: float = 2.0,
+    z: float = 2.5,
     own: int = 10,
     cap: float = 6.0,
     base: float = -0.5,
@@ -262,8 +275,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores, sums, found = [], [], []
             for text in batch.column(1).to_pylist():
-                words = WORDS((text or "").lower())
-                total, parts = evidence(m, np.fromiter(map(get, words), float, len(words)))
+                total, parts = evidence(m, word_scores(get, text or "", m.base))
                 scores.append(_squash(m.bias + m.slope * math.log1p(total)))
                 sums.append(total)
                 found.append([{"start": a, "end": b, "e_value": e} for a, b, e in parts])
