@@ -13,7 +13,9 @@ Neighbouring windows with one anchor form a stretch of at most 2 * window - m wo
  P5  each group removes what is covered and digests the rest.
 
 A group sends a hot passage once however often it has it, so a shard hears of a passage from each group once at
-most.  Groups hold about ``group_bytes`` of text.  All passes read one shuffle of the texts by group.
+most.  An anchor that heads more than ``hot`` stretches is not indexed: its windows go one by one, each to the
+shard of its own words, where equality alone tells the earliest; so no shard grows with such an anchor.  Groups
+hold about ``group_bytes`` of text.  All passes read one shuffle of the texts by group.
 
 Earlier means a smaller id, or a smaller start in the same document; a null id comes last.  Rows of one id
 count as one document, so equal starts in them are not earlier than each other.  Defined results: null and
@@ -35,9 +37,10 @@ from .common import slices, tidy
 from .fmindex import FMIndex
 from .wordhash import _INVERSE, _MULTIPLIER, encode, mix, word_hashes
 
-WINDOW, GRAM, GROUP_BYTES, INDEX_WORDS = 20, 4, 8_000_000, 1_000_000
+WINDOW, GRAM, GROUP_BYTES, INDEX_WORDS, HOT = 20, 4, 8_000_000, 1_000_000, 50_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1
+_SINGLE = 1 << 20
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +76,7 @@ class Stretches:
         sizes = np.diff(self.bounds)
         n = len(self.words)
         row = np.repeat(np.arange(len(order)), sizes)
-        key = np.array([_LAST if i is None else i for i in self.ids], np.int64)
+        self.key = np.array([_LAST if i is None else i for i in self.ids], np.int64)
         with np.errstate(over="ignore"):
             grams = self.words[: max(0, n - gram + 1)].copy()
             for i in range(1, gram):
@@ -89,11 +92,17 @@ class Stretches:
         self.end = at[np.append(head[1:], len(at)).astype(np.int64) - 1] + window if len(at) else self.begin
         self.anchor = grams[anchor[head]].view(np.int64)
         self.row = row[self.begin]
-        self.doc = key[self.row]
+        self.doc = self.key[self.row]
         self.start = self.begin - self.bounds[self.row]
 
-    def contents(self) -> np.ndarray:
-        """A hash of the words of each stretch."""
+    def windows(self, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each window of these stretches begins, its stretch)."""
+        n = self.end[stretches] - self.begin[stretches] - self.window + 1
+        owner = np.repeat(stretches, n)
+        return self.begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+
+    def hashed(self, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """A hash of the words of each range; windows sent one by one are salted, to be told from short stretches."""
         with np.errstate(over="ignore"):
             n = len(self.words)
             power = np.full(n + 1, _MULTIPLIER, np.uint64)
@@ -101,8 +110,8 @@ class Stretches:
             power[0] = back[0] = 1
             power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * power[:n], dtype=np.uint64)])
-            out = (sums[self.end] - sums[self.begin]) * back[self.begin]
-            return mix(out + (self.end - self.begin).astype(np.uint64) * _GOLD).view(np.int64)
+            out = (sums[end] - sums[begin]) * back[begin]
+            return mix(out + (end - begin + salt).astype(np.uint64) * _GOLD).view(np.int64)
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -142,16 +151,20 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [np.concatenate(x) for x in zip(*held, strict=True)] if held else None
 
 
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of a shard (anchor, grp, often): those of two groups, or often in one, go back to their groups."""
-    cols = _columns(batches)
-    if cols:
-        anchor, grp, often = cols
-        _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        many = count > 1
-        np.logical_or.at(many, inverse, often)
-        keep = many[inverse]
-        yield _answers(grp[keep], anchor[keep], np.ones(int(keep.sum()), bool))
+def _twice(hot: int):
+    """A function of a shard's anchors (anchor, grp, n): those found twice go back to their groups, as yes; those
+    of more than ``hot`` stretches as no."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = _columns(batches)
+        if cols:
+            anchor, grp, n = cols
+            _, inverse = np.unique(anchor, return_inverse=True)
+            total = np.bincount(inverse, n)[inverse]
+            keep = total > 1
+            yield _answers(grp[keep], anchor[keep], total[keep] <= hot)
+
+    return run
 
 
 def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +251,7 @@ def remove_repeats(
     gram: int = GRAM,
     group_bytes: int = GROUP_BYTES,
     index_words: int = INDEX_WORDS,
+    hot: int = HOT,
     with_text: bool = True,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, kept_sha256`` of every row; no text unless ``with_text``."""
@@ -250,7 +264,7 @@ def remove_repeats(
         grp = table.column("grp")[0].as_py()
         found, count = np.unique(Stretches(table, window, gram).anchor, return_counts=True)
         return pa.table(
-            {"anchor": pa.array(found, pa.int64()), "grp": pa.array(np.full(len(found), grp), pa.int32()), "often": pa.array(count > 1)}
+            {"anchor": pa.array(found, pa.int64()), "grp": pa.array(np.full(len(found), grp), pa.int32()), "n": pa.array(count, pa.int32())}
         )
 
     def contents(table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -258,15 +272,18 @@ def remove_repeats(
             return pa.table({k: pa.array([], t) for k, t in (("content", pa.int64()), ("grp", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()))})
         s = Stretches(table, window, gram)
         suspect = np.flatnonzero(np.isin(s.anchor, _joined(answer.column("yes"))))
-        content = s.contents()[suspect]
-        first = _firsts(content, s.doc[suspect], s.start[suspect])
-        at = suspect[first]
+        single, owner = s.windows(np.flatnonzero(np.isin(s.anchor, _joined(answer.column("no")))))
+        begin = np.concatenate([s.begin[suspect], single])
+        content = np.concatenate([s.hashed(s.begin[suspect], s.end[suspect]), s.hashed(single, single + window, _SINGLE)])
+        row = s.row[np.concatenate([suspect, owner])]
+        doc, start = s.key[row], begin - s.bounds[row]
+        first = _firsts(content, doc, start)
         return pa.table(
             {
                 "content": pa.array(content[first], pa.int64()),
-                "grp": pa.array(np.full(len(at), table.column("grp")[0].as_py()), pa.int32()),
-                "doc": pa.array(s.doc[at], pa.int64()),
-                "start": pa.array(s.start[at], pa.int32()),
+                "grp": pa.array(np.full(len(first), table.column("grp")[0].as_py()), pa.int32()),
+                "doc": pa.array(doc[first], pa.int64()),
+                "start": pa.array(start[first], pa.int32()),
             }
         )
 
@@ -276,30 +293,46 @@ def remove_repeats(
             return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         grp = table.column("grp")[0].as_py()
         s = Stretches(table, window, gram)
-        content = s.contents()
-        mine = np.isin(content, _joined(answer.column("yes")))
-        owned = np.flatnonzero(mine)
-        owned = owned[_firsts(content[owned], s.doc[owned], s.start[owned])]
-        # copies that begin where the first does are rows of the same id: not earlier, so not repeats
-        _, inverse = np.unique(content, return_inverse=True)
-        of = np.full(int(inverse.max(initial=-1)) + 1, -1, np.int64)
-        of[inverse[owned]] = owned
-        home = of[inverse]
-        later = np.isin(content, _joined(answer.column("no"))) | mine & ((s.doc != s.doc[home]) | (s.start != s.start[home]))
-        again = np.flatnonzero(mine & ~later)
+        yes, no = _joined(answer.column("yes")), _joined(answer.column("no"))
+
+        def sorted_out(begin: np.ndarray, end: np.ndarray, row: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(known, repeated, first of its content) of ranges.  Copies that begin where the first does are rows
+            of the same id: not earlier, so not repeats."""
+            content = s.hashed(begin, end, salt)
+            doc, start = s.key[row], begin - s.bounds[row]
+            mine, others = np.isin(content, yes), np.isin(content, no)
+            owned = np.flatnonzero(mine)
+            owned = owned[_firsts(content[owned], doc[owned], start[owned])]
+            _, inverse = np.unique(content, return_inverse=True)
+            home = np.full(int(inverse.max(initial=-1)) + 1, -1, np.int64)
+            home[inverse[owned]] = owned
+            at = home[inverse]
+            return mine | others, others | mine & ((doc != doc[at]) | (start != start[at])), mine
+
+        known, repeated, mine = sorted_out(s.begin, s.end, s.row)
+        again = np.flatnonzero(mine & ~repeated)
+        # stretches of hot anchors were sent window by window
+        single, owner = s.windows(np.flatnonzero(~known))
+        _, single_repeated, _ = sorted_out(single, single + window, s.row[owner], _SINGLE)
+        later = np.flatnonzero(repeated)
+        begin = np.concatenate([s.begin[later], single[single_repeated]])
+        end = np.concatenate([s.end[later], single[single_repeated] + window])
+        row = s.row[np.concatenate([later, owner[single_repeated]])]
+        order = np.argsort(begin, kind="stable")
+        begin, end, row = begin[order], end[order], row[order]
         # neighbouring repeats of a row become one range of words
-        at = np.flatnonzero(later)
-        joins = np.zeros(len(at), bool)
-        joins[1:] = (s.row[at[1:]] == s.row[at[:-1]]) & (s.begin[at[1:]] <= s.end[at[:-1]])
+        reach = np.maximum.accumulate(end) if len(end) else end
+        joins = np.zeros(len(begin), bool)
+        joins[1:] = (row[1:] == row[:-1]) & (begin[1:] <= reach[:-1])
         head = np.flatnonzero(~joins)
-        tail = np.append(head[1:], len(at)).astype(np.int64) - 1 if len(at) else head
-        base = s.bounds[s.row[at[head]]]
+        tail = np.append(head[1:], len(begin)).astype(np.int64) - 1 if len(begin) else head
+        base = s.bounds[row[head]]
         rows = [
-            (s.anchor[again], s.anchor[at[head]]),
+            (s.anchor[again], begin[head]),
             (np.full(len(again), grp), np.full(len(head), grp)),
-            (s.row[again], s.row[at[head]]),
-            (s.doc[again], s.end[at[tail]] - base),
-            (s.start[again], s.begin[at[head]] - base),
+            (s.row[again], row[head]),
+            (s.doc[again], reach[tail] - base),
+            (s.start[again], begin[head] - base),
         ]
         sent = [_blob(s.words[a:b].view(np.int64)) for a, b in zip(s.begin[again].tolist(), s.end[again].tolist(), strict=True)]
         arrays = [pa.array(np.concatenate(x), t) for x, t in zip(rows, kinds, strict=False)]
@@ -331,7 +364,7 @@ def remove_repeats(
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     by_group = grouped.groupBy("grp")
-    repeated = by_group.applyInArrow(anchors, "anchor bigint, grp int, often boolean").repartition("anchor").mapInArrow(tidy(_twice), ANSWER)
+    repeated = by_group.applyInArrow(anchors, "anchor bigint, grp int, n int").repartition("anchor").mapInArrow(tidy(_twice(hot)), ANSWER)
     stretches = by_group.cogroup(repeated.groupBy("grp")).applyInArrow(contents, "content bigint, grp int, doc bigint, start int")
     firsts = stretches.repartition("content").mapInArrow(tidy(_earliest), ANSWER)
     sent = by_group.cogroup(firsts.groupBy("grp")).applyInArrow(words, WORDS)

@@ -290,10 +290,10 @@ def brute_removal(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window, group_bytes, index_words", ((5, 10**7, 10**6), (5, 500, 50), (20, 2000, 200)))
-def test_removal_by_brute_force(spark, window, group_bytes, index_words):
+@pytest.mark.parametrize("window, group_bytes, index_words, hot", ((5, 10**7, 10**6, 10**6), (5, 500, 50, 10**6), (20, 2000, 200, 10**6), (5, 10**7, 10**6, 1), (5, 500, 50, 8), (20, 2000, 200, 5)))
+def test_removal_by_brute_force(spark, window, group_bytes, index_words, hot):
     rows = passages(80, seed=window) + [(1000, "a a a a a a a a a a a a " * 5, "x"), (1001, None, "x"), (1002, "", "x")]
-    out = substring.remove_repeats(documents(spark, rows), window, min(4, window), group_bytes, index_words).collect()
+    out = substring.remove_repeats(documents(spark, rows), window, min(4, window), group_bytes, index_words, hot).collect()
     want = brute_removal(rows, window)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == want
     assert all(hashlib.sha256(encode(r.kept_text)).hexdigest() == r.kept_sha256 for r in out)
