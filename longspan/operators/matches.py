@@ -1,7 +1,9 @@
 """Relational view of repeated text: maximal nearest-earlier matches and coverage by 31-grams.
 
 The hash of every 31-character gram is made in numpy (a text at a time, no string per place), then Spark does
-the rest.  Coverage asks only whether a gram stands earlier anywhere, so the first place of each gram is an
+the rest.  Grams come with an anchor, the least hash of the 16-grams in them: equal grams have equal anchors, and
+a text has an anchor for about every eighth place only.  So the texts' distinct anchors are compared first, and
+just the grams whose anchor another text has, or which repeat inside their text, become rows.  Coverage asks only whether a gram stands earlier anywhere, so the first place of each gram is an
 aggregate, summed map-side; runs ask for the nearest earlier place, which is ``lag`` in a window.
 This is the analytic view, not the greedy token sequence of ``parse``.
 """
@@ -62,8 +64,63 @@ def gram_rows(docs: DataFrame, width: int = GRAM) -> DataFrame:
             if held:
                 yield batch_of(held)
 
-    spread = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(doc_id AS bigint) doc_id", "text")
-    return spread.mapInArrow(run, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
+
+
+def _anchors(text: str, width: int, part: int = 16) -> np.ndarray:
+    """The anchor of each gram: the least hash of its inner grams of ``part`` characters."""
+    part = min(part, width)
+    least, reach = _gram_hashes(text, part), 1
+    span = width - part + 1
+    while reach < span and len(least):
+        step = min(reach, span - reach)
+        if len(least) <= step:
+            return least[:0]
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(doc_id AS bigint) doc_id", "text")
+
+
+def candidate_rows(docs: DataFrame, width: int = GRAM) -> DataFrame:
+    """The rows of ``gram_rows`` whose gram can have another copy: all of those that do are among them."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_anchors(t.as_py(), width)) for t in batch.column(1)]
+            keys = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(found))], ["doc_id", "anchor"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["doc_id", "pos", "gram", "fresh"])
+
+        for batch in batches:
+            held, size = [], 0
+            for key, text, shared in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                grams, anchors = _gram_hashes(text, width), _anchors(text, width)
+                _, first, inverse, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+                fresh = np.zeros(len(grams), bool)
+                fresh[first] = True
+                others = np.array(shared.as_py() or [], np.int64)
+                at = np.flatnonzero((count[inverse] > 1) | np.isin(anchors, others)) if len(grams) else first
+                held.append((np.full(len(at), key.as_py(), np.int64), at + 1, grams[at], fresh[at]))
+                size += len(at)
+                if size > 500_000:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(held)
+
+    texts = _texts(docs)
+    anchors = texts.mapInArrow(distinct, "doc_id bigint, anchor bigint")
+    often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = anchors.join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    return texts.join(shared, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(rows, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
 
 
 def repeated_places(docs: DataFrame, width: int = GRAM) -> DataFrame:
@@ -72,7 +129,7 @@ def repeated_places(docs: DataFrame, width: int = GRAM) -> DataFrame:
     Repeats inside a text are told by the kernel.  For the others the least text of each gram is an aggregate,
     summed map-side; grams of one text only drop out before the join back.
     """
-    grams = gram_rows(docs, width)
+    grams = candidate_rows(docs, width)
     first = grams.where("fresh").groupBy("gram").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
     elsewhere = grams.where("fresh").join(first, "gram").where("doc_id > first_doc").select("doc_id", "pos")
     return elsewhere.unionAll(grams.where("NOT fresh").select("doc_id", "pos"))
@@ -88,7 +145,7 @@ def coverage(docs: DataFrame, width: int = GRAM) -> DataFrame:
 def match_runs(docs: DataFrame, width: int = GRAM) -> DataFrame:
     """Maximal runs against the nearest earlier copy: ``doc_id, pos, source_doc, source_pos, length``."""
     nearest = Window.partitionBy("gram").orderBy("doc_id", "pos")
-    pairs = gram_rows(docs, width).select(
+    pairs = candidate_rows(docs, width).select(
         "doc_id", "pos", F.lag("doc_id").over(nearest).alias("source_doc"), F.lag("pos").over(nearest).alias("source_pos")
     )
     pairs = pairs.where("source_doc IS NOT NULL").withColumn("diagonal", F.col("pos") - F.col("source_pos"))
