@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of 4096 tokens."""
-    return pack(pieces(docs, tokenizer_path(), cache_words=50_000))
+    return pack(pieces(docs, tokenizer_path(), cache_words=50_000, batch_chars=2_000_000))
 
 
 STAGES = [

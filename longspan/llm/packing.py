@@ -31,7 +31,7 @@ from .common import materialise, over_batches, slices
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 200_000
-CACHE_WORDS = 500_000
+CACHE_WORDS, BATCH_CHARS = 500_000, 8_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -47,7 +47,7 @@ class ChunkTokenizer:
     cache keeps at most ``limit`` entries; what comes later is coded for its batch only.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,7 +56,7 @@ class ChunkTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
-        self.limit = limit
+        self.limit, self.batch_chars = limit, batch_chars
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -93,7 +93,7 @@ class ChunkTokenizer:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, without an end id."""
-        for a, b in slices(texts, 4000, 8_000_000):
+        for a, b in slices(texts, 4000, self.batch_chars):
             parts = [_blanks(x).split(" ") for x in texts[a:b]]
             seen: set[str] = set()
             for p in parts:
@@ -138,23 +138,29 @@ class _Either(dict):
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
-def tokenizer_of(path: str, limit: int) -> ChunkTokenizer:
+def tokenizer_of(path: str, limit: int, batch_chars: int) -> ChunkTokenizer:
     """One per Python worker, so that later tasks of the worker find its cache."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path, limit)
+        _TOKENIZERS[path] = ChunkTokenizer(path, limit, batch_chars)
     return _TOKENIZERS[path]
 
 
 def pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    cache_words: int = CACHE_WORDS,
+    batch_chars: int = BATCH_CHARS,
 ) -> DataFrame:
     """One row per piece of at most ``capacity`` ids, with the checksum of its ids.
 
-    ``cache_words`` bounds what a worker keeps coded (about 250 bytes each); results don't depend on it.
+    ``cache_words`` bounds what a worker keeps coded (about 250 bytes each) and ``batch_chars`` what it codes at
+    once (about 12 bytes a character); results depend on neither.
     """
 
     def make():
-        encode = tokenizer_of(tokenizer_path, cache_words)
+        encode = tokenizer_of(tokenizer_path, cache_words, batch_chars)
         end = np.array([end_id], "<u4").tobytes()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,7 +177,7 @@ def pieces(
 
         return f
 
-    return over_batches(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), make, PIECES, 5_000)
+    return over_batches(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), make, PIECES, max(1_000, batch_chars // 800))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
