@@ -12,8 +12,9 @@ of frequent tokens; inside a tail class it is (c - D) / T, with D * V / T left t
 token's count, T and V: the class's tokens and types, D: the discount).  Both levels start from the counts.
 
 Training.  In each round every task takes AdaGrad steps from the weights it is given, over all its training
-texts, at each ``stride``-th place (another remainder each round); the changes are averaged row by row with the
-number of visits as weight, summed where they are, and only the finished weights (a fixed size) come back.
+texts, at each ``stride``-th place of a text (another remainder each round, so that the rounds visit every place
+of every text); the changes are averaged row by row with the number of visits as weight, summed where they are,
+and only the finished weights (a fixed size) come back.
 
 Counts of the most frequent tokens are broadcast, at most ``HEAD_LIMIT`` of them (8 MB); those of all others
 reach the texts that hold them through a join.
@@ -188,14 +189,21 @@ def _step(weights: np.ndarray, gathered: np.ndarray, visits: np.ndarray, rows: n
     weights[at] -= rate * total / np.sqrt(gathered[at] + 1e-3)[:, None]
 
 
+def visited(starts: np.ndarray, offset: int, stride: int) -> np.ndarray:
+    """The places of a round: in each text those of remainder ``offset``, however texts are batched."""
+    inside = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    return np.flatnonzero(inside % stride == offset)
+
+
 def train_local(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], offset: int, stride: int, rate: float = 0.08):
     """Take steps over token arrays; returns the changed weights and the visits of their rows."""
     w = [model.w1.copy(), model.w2.copy()]
     gathered = [np.zeros(len(x), np.float32) for x in w]
     visits = [np.zeros(len(x), np.float32) for x in w]
     for token, starts in parts:
-        hashed = features(token, starts)[offset::stride]
-        token = token[offset::stride]
+        chosen = visited(starts, offset, stride)
+        hashed = features(token, starts)[chosen]
+        token = token[chosen]
         kind, slot = model.target(token, model.find(token))
         for a in range(0, len(token), 2048):
             part = slice(a, a + 2048)
@@ -399,11 +407,13 @@ def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, disc
     )
 
 
-def fit(texts: DataFrame, rounds: int = 2, stride: int = 16) -> tuple[Model, Totals, DataFrame]:
-    """Counts over all texts, then ``rounds`` rounds of distributed updates."""
+def fit(texts: DataFrame, rounds: int = 2, stride: int = 2) -> tuple[Model, Totals, DataFrame]:
+    """Counts over all texts, then ``rounds`` rounds of distributed updates, which together visit every place."""
+    if not 1 <= stride <= rounds:
+        raise ValueError(f"{rounds} rounds of every {stride}th place leave places out")
     counts = materialise(count_tokens(texts), "counts")
     model, totals = start_model(counts)
     if totals.n:
         for r in range(rounds):
-            model = train_round(texts, model, r * stride // rounds, stride)
+            model = train_round(texts, model, r % stride, stride)
     return model, totals, counts

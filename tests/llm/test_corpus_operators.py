@@ -365,6 +365,22 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert lm.score(empty(spark), model, totals, counts).count() == 0
 
 
+def test_training_visits_every_place_once(spark, monkeypatch):
+    """Over the rounds of ``fit`` as it is called, also in texts shorter than the stride and however they are batched."""
+    calls = []
+    monkeypatch.setattr(lm, "train_round", lambda texts, model, offset, stride: calls.append((offset, stride)) or model)
+    lm.fit(documents(spark, passages(5)))
+    texts = ["", "a", "a b", "a b c d e f g", " ".join(f"w{i}" for i in range(50))]
+    for batch in (texts, texts[1:], texts[3:]):
+        starts = lm.tokens(batch)[1]
+        places = np.concatenate([lm.visited(starts, *c) for c in calls])
+        assert sorted(places.tolist()) == list(range(starts[-1]))
+    trained = sum(lm.train_local(lm.Model(), iter([lm.tokens(texts)]), *c)[1][0].sum() for c in calls)
+    assert trained == lm.FEATURES * sum(len(x.split()) + 1 for x in texts)
+    with pytest.raises(ValueError):
+        lm.fit(documents(spark, passages(5)), rounds=2, stride=16)
+
+
 # --- pipeline ---
 
 
