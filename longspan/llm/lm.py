@@ -8,8 +8,10 @@ Model.  A token's class is one of ``HEAD_CLASSES`` blocks of ``BLOCK`` frequent
   P(token | history) = P(class | history) * P(token | class, history)
 P(class | history) is a softmax over weights of hashed features: the token before, the one before that (skip),
 both (n-gram), and the endings of the three before.  P(token | class, history) is such a softmax inside a block
-of frequent tokens; inside a tail class it is (c - D) / T, with D * V / T left to its unknown tokens (c: the
-token's count, T and V: the class's tokens and types, D: the discount).  Both levels start from the counts.
+of frequent tokens.  A tail class leaves D * V / T to its unknown tokens (T and V: the class's tokens and types, D:
+the discount); the rest goes down a tree whose branches are digits of the token's hash, by such a softmax at each
+of up to ``DEPTH`` levels, as many as bring a leaf to about one known token.  Tokens of a leaf share by c - D (c: the
+token's count).  All levels start from the counts.
 
 Training.  In each round every task takes AdaGrad steps from the weights it is given, over all its training
 texts, at each ``stride``-th place of a text (another remainder each round, so that the rounds visit every place
@@ -27,7 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ from .wordhash import _SPACE, encode, mix, word_hashes
 TAIL_CLASSES, HEAD_CLASSES, BLOCK = 16, 32, 64
 CLASSES = TAIL_CLASSES + HEAD_CLASSES
 HEAD_LIMIT = 524_288
-ROWS1, ROWS2, FEATURES = 4096, 8192, 4
+ROWS1, ROWS2, ROWS3, FEATURES = 4096, 8192, 16_384, 4
+DIGIT, DEPTH = 6, 3  # bits a level of the tail's tree, and its most levels: 4,194,304 leaves
+_NONE = np.float32(-1e9)  # log of no mass
 DISCOUNT = 0.6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(TAIL_CLASSES - 1)
@@ -103,6 +107,8 @@ class Model:
     bias2: np.ndarray = field(default_factory=lambda: np.zeros((HEAD_CLASSES, BLOCK), np.float32))
     w1: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS1, CLASSES), np.float32))
     w2: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS2, BLOCK), np.float32))
+    w3: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS2, BLOCK), np.float32))
+    tree: list[np.ndarray] = field(default_factory=list)  # a level: log share of each branch (nodes x branches)
 
     def find(self, token: np.ndarray) -> np.ndarray:
         """Row of each token in the table, or -1."""
@@ -142,10 +148,26 @@ def rows1(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(40)).astype(np.int64) % ROWS1 + np.arange(FEATURES) * ROWS1
 
 
-def rows2(hashed: np.ndarray, block: np.ndarray) -> np.ndarray:
+def rows2(hashed: np.ndarray, block: np.ndarray, size: int = ROWS2) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = mix(hashed ^ (block.astype(np.uint64) + np.uint64(1))[:, None] * _GOLD)
-    return (x >> np.uint64(40)).astype(np.int64) % ROWS2 + np.arange(FEATURES) * ROWS2
+    return (x >> np.uint64(40)).astype(np.int64) % size + np.arange(FEATURES) * size
+
+
+def tree_parts(model: Model, token: np.ndarray, tail: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, bias, digit, the digit's log share by counts, node key) of tail tokens at each level, ``size`` at a time.
+
+    Nodes of one branch decide nothing and are left out, as are branches that no known token takes.
+    """
+    node = (token[tail] & _LOW).astype(np.int64)
+    for level, table in enumerate(model.tree):
+        digit = ((token[tail] >> np.uint64(4 + DIGIT * level)) & np.uint64(BLOCK - 1)).astype(np.int64)
+        share = table[node, digit]
+        some = np.flatnonzero((share < 0) & (share > _NONE))
+        for a in range(0, len(some), size):
+            part = some[a : a + size]
+            yield tail[part], table[node[part]], digit[part], share[part], node[part] + ((level + 1) << 32)
+        node = node * BLOCK + digit
 
 
 def _log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -159,7 +181,16 @@ def _log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.
 
 
 def log_probs(model: Model, token: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for frequent tokens, P(token | class), of each place."""
+    """Natural log of P(class) and, for frequent tokens, P(token | class), of each place.
+
+    For other known tokens: what the history makes of their share by counts.
+    """
+    out, more = known_log_probs(model, token, starts, at)
+    return out + np.where(at >= 0, more, 0.0)
+
+
+def known_log_probs(model: Model, token: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``log_probs`` without what the tail's tree adds, and that, which holds if the token is known."""
     hashed = features(token, starts)
     kind, slot = model.target(token, at)
     out = np.empty(len(token))
@@ -173,7 +204,11 @@ def log_probs(model: Model, token: np.ndarray, starts: np.ndarray, at: np.ndarra
         block = kind[part] - TAIL_CLASSES
         z = _log_softmax(model.w2, rows2(hashed[part], block), model.bias2[block])
         out[part] += z[np.arange(len(part)), slot[part]]
-    return out
+    more = np.zeros(len(token))
+    for part, bias, digit, share, key in tree_parts(model, token, np.flatnonzero(slot < 0), 8192):
+        z = _log_softmax(model.w3, rows2(hashed[part], key, len(model.w3) // FEATURES), bias)
+        more[part] += z[np.arange(len(part)), digit] - share
+    return out, more
 
 
 def _step(weights: np.ndarray, gathered: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -197,7 +232,7 @@ def visited(starts: np.ndarray, offset: int, stride: int) -> np.ndarray:
 
 def train_local(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], offset: int, stride: int, rate: float = 0.08):
     """Take steps over token arrays; returns the changed weights and the visits of their rows."""
-    w = [model.w1.copy(), model.w2.copy()]
+    w = [model.w1.copy(), model.w2.copy(), model.w3.copy()]
     gathered = [np.zeros(len(x), np.float32) for x in w]
     visits = [np.zeros(len(x), np.float32) for x in w]
     for token, starts in parts:
@@ -219,6 +254,11 @@ def train_local(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], of
             grad = np.exp(_log_softmax(w[1], rows, model.bias2[block]))
             grad[np.arange(len(grad)), slot[part]] -= 1
             _step(w[1], gathered[1], visits[1], rows, grad, rate)
+        for part, bias, digit, _, key in tree_parts(model, token, np.flatnonzero(slot < 0), 2048):
+            rows = rows2(hashed[part], key, len(w[2]) // FEATURES)
+            grad = np.exp(_log_softmax(w[2], rows, bias))
+            grad[np.arange(len(grad)), digit] -= 1
+            _step(w[2], gathered[2], visits[2], rows, grad, rate)
     return w, visits
 
 
@@ -239,7 +279,7 @@ def train_round(texts: DataFrame, model: Model, offset: int, stride: int) -> Mod
                     yield tokens(column[a:b])
 
         w, visits = train_local(m, parts(), offset, stride)
-        for level, (new, old, n) in enumerate(zip(w, (m.w1, m.w2), visits, strict=True)):
+        for level, (new, old, n) in enumerate(zip(w, (m.w1, m.w2, m.w3), visits, strict=True)):
             for a in range(0, len(new), _CHUNK):
                 part = slice(a, a + _CHUNK)
                 if n[part].any():
@@ -265,11 +305,13 @@ def train_round(texts: DataFrame, model: Model, offset: int, stride: int) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"])
 
     changes = texts.select("text").mapInArrow(tidy(run), "chunk int, body binary").repartition("chunk").mapInArrow(tidy(add), "chunk int, body binary")
-    out = Model(model.token, model.count, model.slot, model.bias1, model.bias2, model.w1.copy(), model.w2.copy())
+    out = replace(model, w1=model.w1.copy(), w2=model.w2.copy(), w3=model.w3.copy())
     for r in changes.toLocalIterator():
-        wide, table = (CLASSES, out.w1) if r["chunk"] < 1000 else (BLOCK, out.w2)
+        table = (out.w1, out.w2, out.w3)[r["chunk"] // 1000]
+        wide = table.shape[1]
         a = r["chunk"] % 1000 * _CHUNK
         table[a : a + _CHUNK] += np.frombuffer(r["body"], np.float32).reshape(_CHUNK, wide)
+    shared.destroy()
     return out
 
 
@@ -319,9 +361,38 @@ def start_model(counts: DataFrame, limit: int = HEAD_LIMIT) -> tuple[Model, Tota
     blocks = head.reshape(HEAD_CLASSES, BLOCK)
     model.bias1 = np.log(np.concatenate([class_n, blocks.sum(1)]) + 0.5).astype(np.float32)
     model.bias2 = np.log(blocks + 1e-6).astype(np.float32)
+    model.tree = tail_tree(counts, model.token[best], model.count[best], int(class_v.sum()))
+    if model.tree:
+        size = min(ROWS3, max(ROWS2, 1 << (totals.v // 32).bit_length()))
+        model.w3 = np.zeros((FEATURES * size, BLOCK), np.float32)
     return model, totals
 
 
+def tail_tree(counts: DataFrame, head: np.ndarray, head_n: np.ndarray, types: int) -> list[np.ndarray]:
+    """Log shares by counts of each node's branches, level by level, of all tokens but ``head``; of a bounded size."""
+    if types <= 0:
+        return []
+    depth = next((d for d in range(1, DEPTH) if TAIL_CLASSES << DIGIT * d >= types), DEPTH)
+    leaves = TAIL_CLASSES << DIGIT * depth
+    rows = counts.groupBy(F.col("token").bitwiseAND(F.lit(leaves - 1)).cast("int").alias("leaf"))
+    table = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("v")).toArrow()
+    n, v = np.zeros(leaves, np.int64), np.zeros(leaves, np.int32)
+    leaf = table.column("leaf").to_numpy()
+    n[leaf], v[leaf] = table.column("n").to_numpy(), table.column("v").to_numpy()
+    leaf = (head & np.uint64(leaves - 1)).astype(np.int64)
+    np.subtract.at(n, leaf, head_n)
+    np.subtract.at(v, leaf, 1)
+    # digits from the lowest are the axes from the last: turned round, the class is the first
+    mass = np.where(v > 0, n - DISCOUNT * v, 0.0).reshape([BLOCK] * depth + [TAIL_CLASSES]).transpose()
+    out = []
+    for level in range(depth):
+        own = mass.sum(tuple(range(level + 2, depth + 1))).reshape(-1, BLOCK)
+        whole = own.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(own > 0, np.log(own / whole), _NONE).astype(np.float32))
+    return out
+
+
 def _tail_terms(totals: Totals, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 of what an unknown token of each tail class gets, and log10 of the class's tokens.
 
@@ -331,7 +402,7 @@ def _tail_terms(totals: Totals, discount: float) -> tuple[np.ndarray, np.ndarray
     return np.log10(np.where(empty, 1.0, np.maximum(types, 1e-300))), np.log10(np.where(empty, 1.0, np.maximum(totals.class_n, 1)))
 
 
-PART = "part_id bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
+PART = "part_id bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, more array<float>"
 
 
 def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
@@ -350,13 +421,14 @@ def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, disc
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(2).to_pylist()
-            n, known, base, total, rare = [], [], [], [], []
+            n, known, base, total, rare, more = [], [], [], [], [], []
             for a, b in slices(texts, 4000, 1_000_000):
                 token, starts = tokens(texts[a:b])
                 at = m.find(token)
                 kind, slot = m.target(token, at)
                 found = at >= 0
-                each = log_probs(m, token, starts, at) / np.log(10)
+                each, branch = known_log_probs(m, token, starts, at)
+                each, branch = (each + np.where(found, branch, 0.0)) / np.log(10), (branch / np.log(10)).astype(np.float32)
                 each += np.where(found, known_tail[at], 0.0) if len(m.token) else 0.0
                 each -= np.where(slot < 0, size[np.minimum(kind, TAIL_CLASSES - 1)], 0.0)
                 first = np.where(found, known_base[at], 0.0) if len(m.token) else np.zeros(len(token))
@@ -367,7 +439,10 @@ def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, disc
                 missing = np.flatnonzero(~found)
                 cut = np.searchsorted(missing, starts)
                 left = token[missing].view(np.int64)
-                rare += [left[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                branch = branch[missing]
+                ranges = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                rare += [left[x:y] for x, y in ranges]
+                more += [branch[x:y] for x, y in ranges]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -377,6 +452,7 @@ def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, disc
                     pa.array(base, pa.float64()),
                     pa.array(total, pa.float64()),
                     pa.array(rare, pa.list_(pa.int64())),
+                    pa.array(more, pa.list_(pa.float32())),
                 ],
                 [x.split()[0] for x in PART.split(", ")],
             )
@@ -385,16 +461,16 @@ def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, disc
 
     rows = docs.select(F.monotonically_increasing_id().alias("part_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = materialise(over_batches(rows, make, PART), "scored")
-    rare = parts.select("part_id", F.explode("rare").alias("token"))
+    rare = parts.select("part_id", F.explode(F.arrays_zip("rare", "more")).alias("x")).select("part_id", F.col("x.rare").alias("token"), F.col("x.more").alias("branch"))
     kind = F.col("token").bitwiseAND(F.lit(TAIL_CLASSES - 1)).cast("int")
     no_count = F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), kind + 1)
     joined = rare.join(counts, "token", "left")
     terms = joined.groupBy("part_id").agg(
         F.count("n").alias("more_known"),
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_base"),
-        F.sum(F.when(F.col("n").isNull(), no_count).otherwise(F.log10(F.col("n") - discount))).alias("more_score"),
+        F.sum(F.when(F.col("n").isNull(), no_count).otherwise(F.log10(F.col("n") - discount) + F.col("branch"))).alias("more_score"),
     )
-    whole = parts.drop("rare").join(terms, "part_id", "left")
+    whole = parts.drop("rare", "more").join(terms, "part_id", "left")
     scale = float(np.log10(totals.n + 0.5 * (totals.v + 1)))
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return whole.select(

@@ -381,6 +381,34 @@ def test_training_visits_every_place_once(spark, monkeypatch):
         lm.fit(documents(spark, passages(5)), rounds=2, stride=16)
 
 
+def test_rare_tokens_depend_on_their_history(spark):
+    """Tokens outside the frequent ones learn from features too, alike inside the broadcast table and outside it, and events still sum to one."""
+    filler = " ".join(f"f{i}" for i in range(lm.HEAD_CLASSES * lm.BLOCK + 50))
+    rows = [(i, " ".join(w for j in range(40) for w in (f"left{(i + j) % 60}", f"right{(i + j) % 60}")) + " " + filler, "en") for i in range(60)]
+    docs = documents(spark, rows)
+    model, totals, counts = lm.fit(docs)
+    sequence, starts = lm.tokens(["f1 left7 right7", "f1 left8 right7"])
+    at = model.find(sequence)
+    assert model.target(sequence, at)[1][2] == -1  # right7 is outside the frequent tokens
+    branch = lm.known_log_probs(model, sequence, starts, at)[1]
+    assert branch[2] > branch[6] + 0.5  # after left7, not after left8
+    table = counts.toArrow().to_pandas()
+    total = np.zeros(lm.TAIL_CLASSES)
+    for t, n in zip(table["token"].to_numpy().view(np.uint64), table["n"]):
+        sequence[2] = t
+        at = model.find(sequence)
+        kind, slot = model.target(sequence, at)
+        if slot[2] < 0:
+            total[kind[2]] += (n - lm.DISCOUNT) * np.exp(lm.known_log_probs(model, sequence, starts, at)[1][2])
+    some = totals.class_v > 0
+    assert np.allclose(total[some], (totals.class_n - lm.DISCOUNT * totals.class_v)[some], rtol=1e-4)
+    few, few_totals = lm.start_model(counts, lm.HEAD_CLASSES * lm.BLOCK + 100)
+    few.w1, few.w2, few.w3 = model.w1, model.w2, model.w3
+    assert len(few.token) < len(model.token)
+    a, b = ({r.doc_id: r.score for r in lm.score(docs, m, t, counts).collect()} for m, t in ((model, totals), (few, few_totals)))
+    assert all(math.isclose(a[i], b[i], rel_tol=1e-5) for i in a)
+
+
 # --- pipeline ---
 
 
