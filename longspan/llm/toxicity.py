@@ -2,7 +2,8 @@
 
 Fitting.  Labelled texts give, for each word and each word's prefixes, in how many lines of toxic and of other
 text it stands; each distinct line counts once, so that groups of copies don't pass for evidence, nor does a word
-that is repeated over and over, in fitting or in scoring.  The score of a
+that is repeated over and over: in fitting it counts once a line, in scoring once in ``WINDOW`` words, so that a
+later passage of the same words is found as well.  The score of a
 term is its log-odds under an informative Dirichlet prior (the pooled counts, scaled), less ``z`` standard
 deviations.  A word with enough counts of its own uses them, any other backs off to its longest scored prefix;
 everything else costs ``base``.  The expected score of a word of clean text is therefore negative.
@@ -39,6 +40,7 @@ from .common import over_batches
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (6, 5, 4)
+WINDOW = 32  # so far apart, even a word of the highest score costs more between two uses than the second gains
 
 
 @dataclass
@@ -171,14 +173,15 @@ def fit_terms(
 
 
 def word_scores(get, text: str, base: float) -> np.ndarray:
-    """Scores of a text's words in order; a positive word counts once a text, later ones cost ``base``."""
+    """Scores of a text's words in order; a positive word costs ``base`` within ``WINDOW`` words of a use that counted."""
     words = WORDS(text.lower())
     scores = np.fromiter(map(get, words), float, len(words))
-    seen: set[str] = set()
+    counted: dict[str, int] = {}
     for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in seen:
+        if i - counted.get(words[i], -WINDOW) < WINDOW:
             scores[i] = base
-        seen.add(words[i])
+        else:
+            counted[words[i]] = i
     return scores
 
 

@@ -81,6 +81,29 @@ def test_toxicity_on_held_out_rows():
     assert wrong <= 4
 
 
+def test_toxicity_of_repeated_passages():
+    """A late passage in a long text counts as the first does, also after isolated uses of its words."""
+    model = toxicity.fit(toxic_rows())
+    get = toxicity._Scores(model).__getitem__
+    clean = " ".join(t for t, label in toxic_rows(200, 9) if not label).split()
+    passage = "grunzelig grunzelten grunzelsam grunzel".split()
+    assert all(get(w) > 0 for w in passage) and len(clean) > 5_000
+    places = lambda words: [(a, b) for a, b, _ in toxicity.evidence(model, toxicity.word_scores(get, " ".join(words), model.base))[1]]
+    at = len(clean) - 200
+    twice = places(clean[:100] + passage + clean[100:at] + passage + clean[at:])
+    assert [any(a <= x and x + 4 <= b for a, b in twice) for x in (100, at + 4)] == [True, True]
+    isolated = [w for i in range(4) for w in [*clean[i * 500 : i * 500 + 500], passage[i]]] + clean[2000:at] + passage + clean[at:]
+    assert any(a <= at + 4 and at + 8 <= b for a, b in places(isolated))
+    # a word said over and over makes no better segment than said once
+    often = toxicity.segments(toxicity.word_scores(get, "grunzel " * 500, model.base))
+    assert max(x for _, _, x in often) <= get("grunzel") + 1e-9
+    wrong = 0
+    for text, label in toxic_rows(200, 9):
+        total, _ = toxicity.evidence(model, toxicity.word_scores(get, text, model.base))
+        wrong += (toxicity._squash(model.bias + model.slope * np.log1p(total)) >= 0.3) != bool(label)
+    assert wrong <= 4
+
+
 def test_toxicity_edges(spark):
     model = toxicity.fit(toxic_rows())
     got = toxicity.score(documents(spark), model).collect()
