@@ -29,13 +29,102 @@ SPELLINGS = (
 )
 COPYRIGHT = "(?m)^[^\\n]*(copyright[ \\t]*(\\(c\\)|©|[0-9]{4})|©)[^\\n]*$"
 
-#: Canonical digests of whole licence texts, with and without their title line.
+#: Canonical digests of whole licence texts: with and without title lines, and where a text has an end of its terms, also
+#: up to there; BSD-3-Clause with numbers or marks and with or without "All rights reserved".
 WHOLE_TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "04ddd61083899c2a5ef03d9fe09b79c9"),
     ("MIT", "90a17991c3ba7b04d183a6467fbe3449"),
     ("ISC", "63179b48dd80764d198b18b1a4a65df0"),
     ("ISC", "b6ab23f33a368e7f225abed7065c8009"),
     ("Apache-2.0", "3f75cdec37a8a9cf2daa486022386970"),  # the notice for files
+    ("Apache-2.0", "1c74907a26c353bf5f44011124266a59"),
+    ("Apache-2.0", "3f3ecd7d2d9563fea353671599b4c3b4"),
+    ("Apache-2.0", "552ad1d664aed2cf768fe58d1237bf47"),
+    ("Apache-2.0", "5d2795cb35f13d3f170c4a82e7d9f97f"),
+    ("Apache-2.0", "907c90224903199ffe6fc357841e86c5"),
+    ("Apache-2.0", "a4f874aaeee4dfe824fb3cc3dcca2009"),
+    ("Apache-2.0", "dcc9230fdd69e3e1c95655dd57b3ce49"),
+    ("Apache-2.0", "f273dc6b076b6eb634de0839015dbc00"),
+    ("Apache-2.0", "f6bdc8dada1b111c6539ba36e7da94f4"),
+    ("BSD-3-Clause", "0b730fab1fdb87df8c6c7ab209156fe1"),
+    ("BSD-3-Clause", "1211c5b42a270fc1dbec29f8c6288807"),
+    ("BSD-3-Clause", "22d101e755b8a71e8a1110668d841dd5"),
+    ("BSD-3-Clause", "607dfcf19e7b38858ad7b50b281db4ed"),
+    ("BSD-3-Clause", "6989781d8e3e31bf06f590dd203d4e65"),
+    ("BSD-3-Clause", "893a4b53d0cd5c2bab12e6bf21862bb0"),
+    ("BSD-3-Clause", "c245a9d439da9a8ea626ab19c280d998"),
+    ("BSD-3-Clause", "d4cef4d9ad8054ea8d2cc83477a6f637"),
+    ("BSD-3-Clause", "d7b8e7252a7f0eaa91d55f59b816a38a"),
+    ("BSD-3-Clause", "dbcc6b46cd5b3ad519ba6d13a4021fcd"),
+    ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"),
+    ("BSD-3-Clause", "dfd9463b7bcad50bb1270be3d6bf0c2a"),
+    ("BSD-3-Clause", "e28eb0a989f3d0d112480a3905886d91"),
+    ("BSD-3-Clause", "e34ea76315523716d2b9af28ecb2f304"),
+    ("BSD-3-Clause", "e82046f0b7f72505ecac75064a0d3ab0"),
+    ("BSD-3-Clause", "eee209a92d0e588427ff375080449984"),
+    ("BSD-3-Clause", "f20a3679d40c0ef02d2cb7563217bd78"),
+    ("BSD-3-Clause", "fda5d0035067d21f2e6c85bfc3567343"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("CC0-1.0", "c1dba131d6e3e7e601c073645a508fc9"),
+    ("CC0-1.0", "fa8a03d1b9df2c6dbd261e2159fa72bd"),
+    ("GFDL-1.2", "7a0a547ecac612b526676be523eacf80"),
+    ("GFDL-1.2", "8c1043bdc34de8f068d072c8a434510c"),
+    ("GFDL-1.2", "abc0f949f6a0be22990ee5efd22e5d3d"),
+    ("GFDL-1.3", "1cedde6c4073f7610c0a5ffd1d0bedc3"),
+    ("GFDL-1.3", "7132e8380bc59358f27c3129a2136bf1"),
+    ("GFDL-1.3", "de5bc065dcd1809500333796d547b19c"),
+    ("GPL-1.0", "03f8ed04f66c4aa38c0d9b1f71f5a05e"),
+    ("GPL-1.0", "21fa8693acc5194a648fe02e11f65a72"),
+    ("GPL-1.0", "3cae58c564bd007093c44926b42897fb"),
+    ("GPL-1.0", "41970afcbf855774d9df3fcc1aa6507d"),
+    ("GPL-1.0", "43b270b91b142a4f1c724e6ce5e885bd"),
+    ("GPL-1.0", "7de27fb242d6b203bbc14bba976a1241"),
+    ("GPL-1.0", "b09bbea84322fdbb5a9b29e82e106de5"),
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    ("GPL-1.0", "ddcb0a395eb768f37a6e17a44139f4a9"),
+    ("GPL-2.0", "21bda761651fab59a5fd5cf523638f38"),
+    ("GPL-2.0", "513bc60d9cca85efe97e78048af51966"),
+    ("GPL-2.0", "57dae875e4e0088751ba2baf1d276391"),
+    ("GPL-2.0", "664b50109aaebd35881a60272e669c25"),
+    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),
+    ("GPL-2.0", "72d9c01a117462b3209741d025a411d5"),
+    ("GPL-2.0", "a0d591c271f136c7e491f1b109e659d6"),
+    ("GPL-2.0", "adda57d0f6698f9d83368a4ab0dda083"),
+    ("GPL-2.0", "f2c06efe640b4a281cbe5337cdde80ab"),
+    ("GPL-3.0", "092e6dfdaafde496343542ad81bf1681"),
+    ("GPL-3.0", "17e434cc6db7003444b088cb4cc81e91"),
+    ("GPL-3.0", "227b78e0798b681fac26c55fb09c43fe"),
+    ("GPL-3.0", "2a4180c7870bff8b7857263a1c8b056b"),
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("GPL-3.0", "4f16e3a448ec920ed5b538ea25d8a893"),
+    ("GPL-3.0", "7ef16bd808a93bb7eeae3ad376f92bf2"),
+    ("GPL-3.0", "97ed56e5c55a6d427bdbf2e5ad0d5800"),
+    ("GPL-3.0", "b585be0cf2ff3e9362303bb637995e26"),
+    ("LGPL-2.0", "6c4299486b1aa80b8198a9d060cf4b5d"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.0", "7635abe16d4f0e5d50aa8f53dc87c1dc"),
+    ("LGPL-2.0", "925cd3f297b753e67d0ad55a14018ca9"),
+    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),
+    ("LGPL-2.0", "9bd9bd9f3e7b37551b243b4f26b948e4"),
+    ("LGPL-2.0", "9e11fca3c297d25d4af63987125a7fd0"),
+    ("LGPL-2.0", "a34861e6f66450057d08c3192f8b454b"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-2.1", "469b325e1e3630601f3dd2ef6d91cd19"),
+    ("LGPL-2.1", "70b7d21f82b978135d65cf7a86d46b6a"),
+    ("LGPL-2.1", "71c2726d9e90169b7d92bcc09c90b8ca"),
+    ("LGPL-2.1", "831e292c78b816e1a9fdba07c006b1b4"),
+    ("LGPL-2.1", "90b400ecd8efecbf2e1465fe240ea32c"),
+    ("LGPL-2.1", "9c45cf1b455f75a34b2035910ad1dc79"),
+    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-3.0", "1b8dd7a9c66d7a25c54515f3aa622e66"),
+    ("LGPL-3.0", "33fad1678ccee0a0d16f8788ad08749e"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "ae7ac7367303b00b6311a6d27b1dcdab"),
+    ("MPL-1.1", "f99cb85033bd28131d7b479baa61ff17"),
+    ("MPL-2.0", "2ee3d33d7b7a737160c99e039ff828b3"),
+    ("MPL-2.0", "8ec28632a0d54334f947e2c3422240d2"),
 )
 
 #: Short notices, kept as they read.

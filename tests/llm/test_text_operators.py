@@ -195,6 +195,26 @@ def test_whole_licence_digests(spark):
     assert "MIT" in got
 
 
+def test_full_texts_are_known(spark):
+    """A document that is a licence word for word is found, with and without its title line and up to the end of its terms."""
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0"}
+    names |= {"GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows, want = [], set()
+    for file, name in names.items():
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}", encoding="utf-8").read()
+            forms = [text, text.upper(), text.lstrip().split("\n", 1)[1]]
+            forms += [text.split("END OF TERMS AND CONDITIONS")[0]] if "END OF TERMS AND CONDITIONS" in text else []
+            want |= {(len(rows) + i, name) for i in range(len(forms))}
+            rows += [(len(rows) + i, x, "") for i, x in enumerate(forms)]
+            rows.append((len(rows), text + "\nand more", ""))
+    if not rows:
+        pytest.skip("no printed licences at hand")
+    found = licenses.scan(documents(spark, rows), licenses.known_digests(spark)).where("whole_text").collect()
+    assert {(r.doc_id, r.license_id) for r in found} == want
+
+
 # --- decontamination ---
 
 
