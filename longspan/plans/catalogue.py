@@ -183,25 +183,43 @@ t AS (SELECT item_id, pos, bit_xor(([{", ".join(map(str, TAG_TABLE))}])[byte + 1
 """
 
 
-def _bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return byte_rows(table(spark, sf, "benchmark"), "item_id", F.col("text").cast("binary"))
+def _bytes(spark: SparkSession, sf: str, source: str, key: str) -> DataFrame:
+    rows = table(spark, sf, source)
+    return byte_rows(spread(rows) if source == "documents" else rows, key, F.col("text").cast("binary"))
 
 
-@_query(_TAGS + "SELECT item_id, pos, CAST(tag AS BIGINT) AS tag FROM t WHERE n = 31")
-def rolling_tag(spark, sf):
-    return tag_rows(_bytes(spark, sf), "item_id").select("item_id", "pos", F.col("tag").cast("bigint").alias("tag"))
+def _byte_query(sql: str):
+    """Registers a query over ``benchmark`` beside its SQL, and over all ``documents`` (tested by brute force: too large for the SQL)."""
+
+    def add(f):
+        def items(spark, sf):
+            return f(spark, sf, "benchmark", "item_id")
+
+        def documents(spark, sf):
+            return f(spark, sf, "documents", "doc_id")
+
+        QUERIES[f.__name__], QUERIES[f"{f.__name__}_documents"] = items, documents
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_byte_query(_TAGS + "SELECT item_id, pos, CAST(tag AS BIGINT) AS tag FROM t WHERE n = 31")
+def rolling_tag(spark, sf, source, key):
+    return tag_rows(_bytes(spark, sf, source, key), key).select(key, "pos", F.col("tag").cast("bigint").alias("tag"))
 
 
-@_query(_TAGS + "SELECT item_id, pos, CAST(tag AS BIGINT) AS tag FROM t WHERE n = 31 AND (tag & 15) = 15")
-def sampled_anchors(spark, sf):
-    return rolling_tag(spark, sf).where(F.col("tag").bitwiseAND(15) == 15)
+@_byte_query(_TAGS + "SELECT item_id, pos, CAST(tag AS BIGINT) AS tag FROM t WHERE n = 31 AND (tag & 15) = 15")
+def sampled_anchors(spark, sf, source, key):
+    return rolling_tag(spark, sf, source, key).where(F.col("tag").bitwiseAND(15) == 15)
 
 
-@_query(_TAGS + "SELECT item_id, bits, count(*) AS places, count(*) FILTER ((tag & ((1 << bits) - 1)) = (1 << bits) - 1) AS anchors FROM t, (VALUES (1), (2), (4), (6)) AS m(bits) WHERE n = 31 GROUP BY 1, 2")
-def anchor_density(spark, sf):
-    tags = rolling_tag(spark, sf).select("item_id", S.low_ones(F.col("tag")).alias("ones"))
-    per = tags.groupBy("item_id").agg(F.count(F.lit(1)).alias("places"), *[F.count_if(F.col("ones") >= n).alias(f"a{n}") for n in (1, 2, 4, 6)])
-    return per.select("item_id", "places", F.explode(F.array(*[F.struct(F.lit(n).alias("bits"), F.col(f"a{n}").alias("anchors")) for n in (1, 2, 4, 6)])).alias("x")).select("item_id", "x.bits", "places", "x.anchors")
+@_byte_query(_TAGS + "SELECT item_id, bits, count(*) AS places, count(*) FILTER ((tag & ((1 << bits) - 1)) = (1 << bits) - 1) AS anchors FROM t, (VALUES (1), (2), (4), (6)) AS m(bits) WHERE n = 31 GROUP BY 1, 2")
+def anchor_density(spark, sf, source, key):
+    tags = rolling_tag(spark, sf, source, key).select(key, S.low_ones(F.col("tag")).alias("ones"))
+    per = tags.groupBy(key).agg(F.count(F.lit(1)).alias("places"), *[F.count_if(F.col("ones") >= n).alias(f"a{n}") for n in (1, 2, 4, 6)])
+    return per.select(key, "places", F.explode(F.array(*[F.struct(F.lit(n).alias("bits"), F.col(f"a{n}").alias("anchors")) for n in (1, 2, 4, 6)])).alias("x")).select(key, "x.bits", "places", "x.anchors")
 
 
 _DELTA = f"""WITH {_BYTES.strip()},
@@ -209,53 +227,53 @@ e AS (SELECT item_id, pos, byte, (byte - coalesce(lag(byte, 4) OVER (PARTITION B
 """
 
 
-def _delta(spark: SparkSession, sf: str) -> DataFrame:
+def _delta(spark: SparkSession, sf: str, source: str, key: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("item_id").orderBy("pos")
-    return _bytes(spark, sf).withColumn("coded", F.pmod(F.col("byte") - F.coalesce(F.lag("byte", 4).over(w), F.lit(0)), F.lit(256)))
+    w = Window.partitionBy(key).orderBy("pos")
+    return _bytes(spark, sf, source, key).withColumn("coded", F.pmod(F.col("byte") - F.coalesce(F.lag("byte", 4).over(w), F.lit(0)), F.lit(256)))
 
 
-@_query(_DELTA + "SELECT item_id, pos, CAST(coded AS INTEGER) AS coded FROM e")
-def delta_encode(spark, sf):
-    return _delta(spark, sf).select("item_id", "pos", F.col("coded").cast("int").alias("coded"))
+@_byte_query(_DELTA + "SELECT item_id, pos, CAST(coded AS INTEGER) AS coded FROM e")
+def delta_encode(spark, sf, source, key):
+    return _delta(spark, sf, source, key).select(key, "pos", F.col("coded").cast("int").alias("coded"))
 
 
-def _undelta(spark: SparkSession, sf: str) -> DataFrame:
+def _undelta(spark: SparkSession, sf: str, source: str, key: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("item_id", F.col("pos") % 4).orderBy("pos")
-    return _delta(spark, sf).withColumn("decoded", (F.sum("coded").over(w) % 256).cast("int"))
+    w = Window.partitionBy(key, F.col("pos") % 4).orderBy("pos")
+    return _delta(spark, sf, source, key).withColumn("decoded", (F.sum("coded").over(w) % 256).cast("int"))
 
 
-@_query(f"WITH {_BYTES.strip()} SELECT item_id, pos, byte AS decoded FROM b")
-def delta_decode(spark, sf):
-    return _undelta(spark, sf).select("item_id", "pos", "decoded")
+@_byte_query(f"WITH {_BYTES.strip()} SELECT item_id, pos, byte AS decoded FROM b")
+def delta_decode(spark, sf, source, key):
+    return _undelta(spark, sf, source, key).select(key, "pos", "decoded")
 
 
-@_query(f"WITH {_BYTES.strip()} SELECT item_id, count(*) AS n_bytes, true AS same FROM b GROUP BY item_id")
-def delta_roundtrip(spark, sf):
-    return _undelta(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_bytes"), F.bool_and(F.col("byte") == F.col("decoded")).alias("same"))
+@_byte_query(f"WITH {_BYTES.strip()} SELECT item_id, count(*) AS n_bytes, true AS same FROM b GROUP BY item_id")
+def delta_roundtrip(spark, sf, source, key):
+    return _undelta(spark, sf, source, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_bytes"), F.bool_and(F.col("byte") == F.col("decoded")).alias("same"))
 
 
 _GAPS = f"WITH {_BYTES.strip()}, g AS (SELECT pos - lag(pos) OVER (PARTITION BY item_id, byte ORDER BY pos) AS gap FROM b), c AS (SELECT gap, count(*) AS n FROM g WHERE gap < 4096 GROUP BY gap) "
 
 
-def _gaps(spark: SparkSession, sf: str) -> DataFrame:
+def _gaps(spark: SparkSession, sf: str, source: str, key: str) -> DataFrame:
     from pyspark.sql import Window
 
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("item_id", "byte").orderBy("pos"))
-    return _bytes(spark, sf).select(gap.alias("gap")).where("gap < 4096").groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy(key, "byte").orderBy("pos"))
+    return _bytes(spark, sf, source, key).select(gap.alias("gap")).where("gap < 4096").groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(_GAPS + "SELECT gap, n FROM c")
-def byte_gap_histogram(spark, sf):
-    return _gaps(spark, sf)
+@_byte_query(_GAPS + "SELECT gap, n FROM c")
+def byte_gap_histogram(spark, sf, source, key):
+    return _gaps(spark, sf, source, key)
 
 
-@_query(_GAPS + "SELECT gap, n FROM c ORDER BY n DESC, gap LIMIT 2")
-def top_periods(spark, sf):
-    return _gaps(spark, sf).orderBy(F.desc("n"), "gap").limit(2)
+@_byte_query(_GAPS + "SELECT gap, n FROM c ORDER BY n DESC, gap LIMIT 2")
+def top_periods(spark, sf, source, key):
+    return _gaps(spark, sf, source, key).orderBy(F.desc("n"), "gap").limit(2)
 
 
 # --- scalar rules (F1-F17, Z2, Z3) ---
