@@ -391,7 +391,7 @@ def codec_sizes(spark, sf):
     files = _files(spark, sf)
     parts = []
     for m in SUPPORTED[1:]:
-        for level in (1, 7, 9):
+        for level in range(1, 10):
             packed = F.octet_length(codecs.coded(F.col("data"), m, level))
             rows = files.select(F.octet_length("data").alias("u_len"), packed.alias("packed"))
             kept = F.when(F.col("u_len") < 64, F.col("u_len")).otherwise(F.least("u_len", "packed"))

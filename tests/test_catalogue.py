@@ -65,3 +65,8 @@ def test_byte_queries_of_documents(spark):
     assert {r.gap: r.n for r in QUERIES["byte_gap_histogram_documents"](spark, SF).collect()} == want
     best = sorted(want.items(), key=lambda g: (-g[1], g[0]))[:2]
     assert [(r.gap, r.n) for r in QUERIES["top_periods_documents"](spark, SF).collect()] == best
+
+
+def test_codec_sizes_of_all_levels(spark):
+    got = [(r.method, r.level) for r in QUERIES["codec_sizes"](spark, SF).collect()]
+    assert sorted(got) == sorted((m, level) for m in catalogue.SUPPORTED[1:] for level in range(1, 10))
