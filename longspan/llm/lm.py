@@ -3,27 +3,29 @@
 Tokens are the words of a text, lower-cased in A-Z, and one end.  The events are the known tokens (those of the
 training texts) and one unknown.  The counts of all training tokens are summed over the whole corpus.
 
-Model.  A token's class is one of ``HEAD_CLASSES`` blocks of ``BLOCK`` frequent tokens, by rank, or one of
-``TAIL_CLASSES`` for the rest, by a hash of the last two bytes.
-  P(token | history) = P(class | history) * P(token | class, history)
-P(class | history) is a softmax over weights of hashed features: the token before, the one before that (skip),
-both (n-gram), and the endings of the three before.  P(token | class, history) is such a softmax inside a block
-of frequent tokens.  A tail class leaves D * V / T to its unknown tokens (T and V: the class's tokens and types, D:
-the discount); the rest goes down a tree whose branches are digits of the token's hash, by such a softmax at each
-of up to ``DEPTH`` levels, as many as bring a leaf to about one known token.  Tokens of a leaf share by c - D (c: the
-token's count).  All levels start from the counts.
-
-Training.  In each round every task takes AdaGrad steps from the weights it is given, over all its training
-texts, at each ``stride``-th place of a text (another remainder each round, so that the rounds visit every place
-of every text); the changes are averaged row by row with the number of visits as weight, summed where they are,
-and only the finished weights (a fixed size) come back.
-
-Counts of the most frequent tokens are broadcast, at most ``HEAD_LIMIT`` of them (8 MB); those of all others
-reach the texts that hold them through a join.
-
-Defined results: null and empty texts are one end; repeated rows are scored alike, each with its own row id in
-the join; without training texts N = V = 0 and every token is unknown; an empty table gives an empty one; other
-columns are ignored.
+Classes.  Tokens are sorted by their last two bytes, then by hash, and cut into ``BRANCHES`` classes of about equal
+mass, these into as many classes again, and so on down to single tokens, so that a frequent token is reached in
+one or two steps.  The unknown is a branch of the first step of its own.  With c the count of a token, ``DISCOUNT``
+of each type's count is the unknown's mass.  At most ``HEAD_LIMIT`` tokens, the most frequent, are symbols of
+their own; the others are gathered by ending and hash in at most ``TAIL_LIMIT`` further symbols, inside which they
+share by c.  So what is broadcast is bounded, and every token has a path of softmaxes.
+  P(token | history) = product over the path of P(branch | node, history), times c / (count of the symbol)
+
+Features.  At every node P(branch | node, history) is a softmax over the node's log shares by counts plus one
+weight vector per feature of the history: the token before, the one before that (skip), both (n-gram), and the
+endings of the three before.  Feature values are hashed to the rows that the node has, in number by its mass.
+Nodes under ``LEAST_MASS`` tokens keep the shares by counts.
+
+Training.  A round sums, over every place of every training text and for each weight, how often the branch was taken
+(O) and how often the model expects it (E): the gradient of the log likelihood is O - E.  All tasks use the same
+weights and only sums leave them, so the result doesn't depend on how the texts are split.  The step is
+``rate`` * (log(O + PRIOR p) - log(E + PRIOR p)), the gradient scaled by a positive amount for each weight, p being
+the share by counts.  In the first round, from weights of zero, E is p times the row's visits exactly, as a
+row belongs to one node.  O is summed in whole 64ths.
+
+Null and empty texts are one end; repeated rows are scored alike, each with its own row id in the join; without
+training texts N = V = 0 and every token is unknown; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,30 +41,32 @@ from pyspark.sql import functions as F
 from .common import materialise, over_batches, slices, tidy
 from .wordhash import _SPACE, encode, mix, word_hashes
 
-TAIL_CLASSES, HEAD_CLASSES, BLOCK = 16, 32, 64
-CLASSES = TAIL_CLASSES + HEAD_CLASSES
-HEAD_LIMIT = 524_288
-ROWS1, ROWS2, ROWS3, FEATURES = 4096, 8192, 16_384, 4
-DIGIT, DEPTH = 6, 3  # bits a level of the tail's tree, and its most levels: 4,194,304 leaves
-_NONE = np.float32(-1e9)  # log of no mass
-DISCOUNT = 0.6
+BRANCHES, BITS = 16, 4
+HEAD_LIMIT, TAIL_LIMIT = 524_288, 262_144
+ROWS_LIMIT = 262_144  # rows a feature that nodes share by mass, at most (16 MB)
+TOKENS_A_ROW = 12
+LEAST_MASS = 24
+FEATURES = 4
+DISCOUNT, PRIOR = 0.6, 30.0
+UNIT = 64
+BLOCK = 16_384  # places at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(TAIL_CLASSES - 1)
-END = np.uint64(0xE4D0E4D0E4D0E4D0) & ~_LOW
+_ENDING = np.uint64(52)
+_NONE = np.float32(-60.0)  # log share of a branch that nothing takes
+END = np.uint64(0xFFF0E4D0E4D0E4D0)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, the low bits telling the tail class; where each text begins), each text closed by ``END``."""
+    """(token hashes, the high bits telling the last two bytes; where each text begins), each text closed by ``END``."""
     parts = [encode(x).lower() for x in texts]
     words, cut = word_hashes(parts)
     raw = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     ends = np.flatnonzero(np.diff(_SPACE[raw].astype(np.int8), prepend=1) == 1)
-    ends = ends[ends > 0] if len(ends) else ends
-    last = raw[ends - 1].astype(np.uint64)
-    before = np.where(_SPACE[raw[ends - 2]], 0, raw[ends - 2]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        kind = mix(last * np.uint64(257) + before + _GOLD) & _LOW
-    words = (words & ~_LOW) | kind
+    ends = ends[ends > 0]
+    six = np.uint64(63)
+    last = raw[ends - 1].astype(np.uint64) & six
+    before = np.where(_SPACE[raw[ends - 2]], 0, raw[ends - 2]).astype(np.uint64) & six
+    words = (words >> np.uint64(12)) | (last << np.uint64(58)) | (before << _ENDING)
     sizes = np.diff(cut)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     out = np.full(len(words) + len(texts), END, np.uint64)
@@ -99,33 +103,135 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    token: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # broadcast tokens, sorted
+class Symbols:
+    """What tokens are to the tree: the frequent ones each a symbol, the others by bucket of ending and hash."""
+
+    token: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # frequent, sorted
     count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # place among the frequent, or -1
-    bias1: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.float32))
-    bias2: np.ndarray = field(default_factory=lambda: np.zeros((HEAD_CLASSES, BLOCK), np.float32))
-    w1: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS1, CLASSES), np.float32))
-    w2: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS2, BLOCK), np.float32))
-    w3: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES * ROWS2, BLOCK), np.float32))
-    tree: list[np.ndarray] = field(default_factory=list)  # a level: log share of each branch (nodes x branches)
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # symbol of each frequent token
+    bits: np.ndarray = field(default_factory=lambda: np.zeros(4096, np.uint64))  # hash bits of a bucket, by ending
+    first: np.ndarray = field(default_factory=lambda: np.zeros(4096, np.int64))  # first bucket, by ending
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # symbol of each bucket, or -1
+    size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # tokens of each bucket
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # place of a frequent token by its hash
+
+    def index(self) -> None:
+        """A table of hash prefixes; tokens that it doesn't lead to are searched for."""
+        if len(self.token):
+            self.table = np.zeros(1 << max(8, (4 * len(self.token)).bit_length()), np.int32)
+            self.table[self._slot(self.token)] = np.arange(len(self.token), dtype=np.int32)
+
+    def _slot(self, token: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((token * _GOLD) >> np.uint64(64 - (len(self.table).bit_length() - 1))).astype(np.int64)
 
     def find(self, token: np.ndarray) -> np.ndarray:
-        """Row of each token in the table, or -1."""
+        """Row of each token among the frequent, or -1."""
         if not len(self.token):
-            return np.full(len(token), -1)
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        return np.where(self.token[at] == token, at, -1)
+            return np.full(len(token), -1, np.int32)
+        at = self.table.take(self._slot(token))
+        wrong = np.flatnonzero(self.token.take(at) != token)
+        if len(wrong):
+            there = np.minimum(np.searchsorted(self.token, token[wrong]), len(self.token) - 1)
+            at[wrong] = np.where(self.token[there] == token[wrong], there, -1)
+        return at
+
+    def bucket(self, token: np.ndarray) -> np.ndarray:
+        ending = (token >> _ENDING).astype(np.int64)
+        bits = self.bits[ending]
+        inside = (token & np.uint64((1 << 52) - 1)) >> (np.uint64(52) - bits)
+        return self.first[ending] + inside.astype(np.int64)
+
+    def symbol(self, token: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Symbol of each token, -1 if only the unknown is left for it; ``at`` as ``find`` gives it."""
+        out = self.own.take(np.maximum(at, 0)) if len(self.own) else np.full(len(token), -1, np.int32)
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            out[rest] = self.shared[self.bucket(token[rest])] if len(self.shared) else -1
+        return out
+
+
+@dataclass
+class Tree:
+    """Nodes of ``BRANCHES`` branches; node 0 is the first step, its last branch the unknown."""
 
-    def target(self, token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, place in the block or -1 for tail classes)."""
-        slot = np.where(at >= 0, self.slot[at], -1) if len(self.slot) else np.full(len(token), -1)
-        tail = (token & _LOW).astype(np.int64)
-        return np.where(slot >= 0, TAIL_CLASSES + slot // BLOCK, tail), np.where(slot >= 0, slot % BLOCK, -1)
+    code: np.ndarray  # branches of each symbol's path, ``BITS`` each, the first lowest
+    child: np.ndarray  # node below each branch, or -1
+    share: np.ndarray  # log share of each branch by counts
+    base: np.ndarray  # (feature 0, the others) x nodes: first row of each node; row 0 stays zero for the others
+    size: np.ndarray  # the same: how many rows
+    rows: tuple[int, int]
+
+    def shares_by_row(self, other: int) -> np.ndarray:
+        """Node of each row, of feature 0 or of the others."""
+        out = np.zeros(self.rows[other], np.int64)
+        own = np.flatnonzero((self.base[other] > 0) | (other == 0))
+        out[np.repeat(self.base[other][own], self.size[other][own]) + _within(self.size[other][own])] = np.repeat(own, self.size[other][own])
+        return out
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+@dataclass
+class Model:
+    symbols: Symbols
+    tree: Tree
+    weights: list[np.ndarray]  # a feature: rows x BRANCHES; those of feature 0 hold the log shares as well
+    gone: np.ndarray  # of each symbol, the 64ths of a use that count for the unknown
+
+
+def grow_tree(mass: np.ndarray, unknown: float, rows_limit: int = ROWS_LIMIT, tokens_a_row: int = TOKENS_A_ROW) -> Tree:
+    """Cut symbols in their order into classes of about equal mass, level by level."""
+    code = np.zeros(len(mass), np.int64)
+    live, group, nodes, level = np.arange(len(mass)), np.zeros(len(mass), np.int64), 0, 0
+    children, masses = [], []
+    while len(live) or not level:
+        m = mass[live]
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(live))))
+        sums = np.cumsum(m)
+        whole = np.add.reduceat(m, head) if len(head) else np.zeros(1)
+        n = max(1, len(head))
+        width = BRANCHES - (level == 0)
+        before = sums - m / 2 - (sums[head] - m[head])[of]
+        digit = np.minimum((before / whole[of] * width).astype(np.int64), width - 1)
+        code[live] |= digit << (BITS * level)
+        key = of * BRANCHES + digit
+        cut = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(np.append(cut, len(live)))
+        table = np.zeros(n * BRANCHES)
+        table[key[cut]] = np.add.reduceat(m, cut) if len(cut) else 0
+        if level == 0:
+            table[BRANCHES - 1] = max(unknown, 1e-9)
+        child = np.full(n * BRANCHES, -1, np.int32)
+        many = cut[count > 1]
+        child[key[many]] = nodes + n + np.arange(len(many))
+        children.append(child)
+        masses.append(table.reshape(-1, BRANCHES))
+        nodes += n
+        stay = np.repeat(count > 1, count)
+        live, key = live[stay], key[stay]
+        group = np.cumsum(np.diff(key, prepend=-1) != 0) - 1
+        level += 1
+    table = np.concatenate(masses)
+    whole = table.sum(1)
+    with np.errstate(divide="ignore"):
+        share = np.where(table > 0, np.log(table / whole[:, None]), _NONE).astype(np.float32)
+    some = whole >= LEAST_MASS
+    rows = min(rows_limit, max(4096, int(whole[0] / tokens_a_row)))
+    size = np.ones((2, nodes), np.int64)
+    size[:, some] = np.maximum(1, np.round(rows * whole[some] / max(whole[some].sum(), 1)))
+    base = np.cumsum(size, axis=1) - size
+    first = int(size[0].sum())
+    size[1, ~some] = 0
+    base[1] = np.where(some, 1 + np.cumsum(size[1]) - size[1], 0)
+    return Tree(code, np.concatenate(children), share, base, size, (first, 1 + int(size[1].sum())))
 
 
 def features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Feature hashes (places x FEATURES) of each place's history; places before a text count as ``END``."""
+    """Feature hashes (FEATURES x places, 32 bits) of each place's history; places before a text count as ``END``."""
     n = len(token)
     inside = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
     back = []
@@ -134,362 +240,333 @@ def features(token: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x[k:] = token[:-k] if n > k else x[k:]
         back.append(np.where(inside >= k, x, END))
     a, b, c = back
-    out = np.empty((n, FEATURES), np.uint64)
-    with np.errstate(over="ignore"):
-        out[:, 0] = mix(a + np.uint64(1))
-        out[:, 1] = mix(b * np.uint64(3) + np.uint64(2))
-        out[:, 2] = mix(a * _GOLD + b)
-        ending = ((a & _LOW) * np.uint64(TAIL_CLASSES) + (b & _LOW)) * np.uint64(TAIL_CLASSES) + (c & _LOW)
-        out[:, 3] = mix(ending + np.uint64(7))
-    return out
-
-
-def rows1(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(40)).astype(np.int64) % ROWS1 + np.arange(FEATURES) * ROWS1
-
-
-def rows2(hashed: np.ndarray, block: np.ndarray, size: int = ROWS2) -> np.ndarray:
+    out = np.empty((FEATURES, n), np.uint64)
     with np.errstate(over="ignore"):
-        x = mix(hashed ^ (block.astype(np.uint64) + np.uint64(1))[:, None] * _GOLD)
-    return (x >> np.uint64(40)).astype(np.int64) % size + np.arange(FEATURES) * size
-
-
-def tree_parts(model: Model, token: np.ndarray, tail: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, bias, digit, the digit's log share by counts, node key) of tail tokens at each level, ``size`` at a time.
-
-    Nodes of one branch decide nothing and are left out, as are branches that no known token takes.
-    """
-    node = (token[tail] & _LOW).astype(np.int64)
-    for level, table in enumerate(model.tree):
-        digit = ((token[tail] >> np.uint64(4 + DIGIT * level)) & np.uint64(BLOCK - 1)).astype(np.int64)
-        share = table[node, digit]
-        some = np.flatnonzero((share < 0) & (share > _NONE))
-        for a in range(0, len(some), size):
-            part = some[a : a + size]
-            yield tail[part], table[node[part]], digit[part], share[part], node[part] + ((level + 1) << 32)
-        node = node * BLOCK + digit
-
-
-def _log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, FEATURES):
-        z += weights[rows[:, k]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def log_probs(model: Model, token: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for frequent tokens, P(token | class), of each place.
-
-    For other known tokens: what the history makes of their share by counts.
-    """
-    out, more = known_log_probs(model, token, starts, at)
-    return out + np.where(at >= 0, more, 0.0)
-
-
-def known_log_probs(model: Model, token: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``log_probs`` without what the tail's tree adds, and that, which holds if the token is known."""
-    hashed = features(token, starts)
-    kind, slot = model.target(token, at)
-    out = np.empty(len(token))
-    for a in range(0, len(token), 8192):
-        part = slice(a, a + 8192)
-        z = _log_softmax(model.w1, rows1(hashed[part]), model.bias1)
-        out[part] = z[np.arange(len(z)), kind[part]]
-    head = np.flatnonzero(slot >= 0)
-    for a in range(0, len(head), 8192):
-        part = head[a : a + 8192]
-        block = kind[part] - TAIL_CLASSES
-        z = _log_softmax(model.w2, rows2(hashed[part], block), model.bias2[block])
-        out[part] += z[np.arange(len(part)), slot[part]]
-    more = np.zeros(len(token))
-    for part, bias, digit, share, key in tree_parts(model, token, np.flatnonzero(slot < 0), 8192):
-        z = _log_softmax(model.w3, rows2(hashed[part], key, len(model.w3) // FEATURES), bias)
-        more[part] += z[np.arange(len(part)), digit] - share
-    return out, more
-
-
-def _step(weights: np.ndarray, gathered: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One AdaGrad step (one accumulator a row) on the rows of a batch."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order]
-    head = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    total = np.add.reduceat(grad[order // FEATURES], head, axis=0)
-    at = sorted_rows[head]
-    gathered[at] += (total * total).mean(1)
-    visits[at] += np.diff(np.append(head, len(flat)))
-    weights[at] -= rate * total / np.sqrt(gathered[at] + 1e-3)[:, None]
-
-
-def visited(starts: np.ndarray, offset: int, stride: int) -> np.ndarray:
-    """The places of a round: in each text those of remainder ``offset``, however texts are batched."""
-    inside = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
-    return np.flatnonzero(inside % stride == offset)
-
-
-def train_local(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], offset: int, stride: int, rate: float = 0.08):
-    """Take steps over token arrays; returns the changed weights and the visits of their rows."""
-    w = [model.w1.copy(), model.w2.copy(), model.w3.copy()]
-    gathered = [np.zeros(len(x), np.float32) for x in w]
-    visits = [np.zeros(len(x), np.float32) for x in w]
+        out[0] = mix(a + np.uint64(1))
+        out[1] = mix(b * np.uint64(3) + np.uint64(2))
+        out[2] = mix(a * _GOLD + b)
+        out[3] = mix((((a >> _ENDING) << np.uint64(24)) | ((b >> _ENDING) << np.uint64(12)) | (c >> _ENDING)) + np.uint64(7))
+    return (out >> np.uint64(32)).view(np.int64)
+
+
+def steps(tree: Tree, hashed: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(places, or None for all; node; branch taken; weight row of each feature) of each step down the tree."""
+    at, node = None, np.zeros(len(code), np.int32)
+    while len(code):
+        branch = code & (BRANCHES - 1)
+        rows = []
+        for k in range(FEATURES):
+            x = hashed[k] if at is None else hashed[k].take(at)
+            base, size = tree.base[int(k > 0)], tree.size[int(k > 0)]
+            rows.append((x * size.take(node) >> 32) + base.take(node))
+        yield at, node, branch, rows
+        below = tree.child.take(node * BRANCHES + branch)
+        go = np.flatnonzero(below >= 0)
+        at = go if at is None else at.take(go)
+        node, code = below.take(go), code.take(go) >> BITS
+
+
+_ONES = np.ones(BRANCHES, np.float32)
+
+
+def _exp_logits(weights: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of each place, and their exponentials; steps keep logits far from overflow."""
+    z = weights[0].take(rows[0], axis=0)
+    for w, r in zip(weights[1:], rows[1:], strict=True):
+        z += w.take(r, axis=0)
+    return z, np.exp(z)
+
+
+def log_probs(model: Model, hashed: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the probability of each place's path, and of the unknown there."""
+    out, unknown = np.zeros(len(code)), np.zeros(len(code))
+    for a in range(0, len(code), BLOCK):
+        part = slice(a, a + BLOCK)
+        total = np.zeros(len(code[part]), np.float32)
+        for at, _, branch, rows in steps(model.tree, hashed[:, part], code[part]):
+            z, e = _exp_logits(model.weights, rows)
+            norm = np.log(e @ _ONES)
+            taken = z.ravel().take(np.arange(0, z.size, BRANCHES) + branch) - norm
+            if at is None:
+                total += taken
+                unknown[part] = z[:, -1] - norm
+            else:
+                total[at] += taken
+        out[part] = total
+    return out, unknown
+
+
+def gradient_sums(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], expected: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(O in 64ths, E in uses) of each feature's weights over token arrays; without ``expected`` no E."""
+    tree = model.tree
+    taken = [np.zeros(tree.rows[k > 0] * BRANCHES, np.uint32) for k in range(FEATURES)]
+    hoped = [np.zeros(tree.rows[k > 0] * BRANCHES, np.float64) for k in range(FEATURES if expected else 0)]
+    ar = np.arange(BRANCHES)
     for token, starts in parts:
-        chosen = visited(starts, offset, stride)
-        hashed = features(token, starts)[chosen]
-        token = token[chosen]
-        kind, slot = model.target(token, model.find(token))
-        for a in range(0, len(token), 2048):
-            part = slice(a, a + 2048)
-            rows = rows1(hashed[part])
-            grad = np.exp(_log_softmax(w[0], rows, model.bias1))
-            grad[np.arange(len(grad)), kind[part]] -= 1
-            _step(w[0], gathered[0], visits[0], rows, grad, rate)
-        head = np.flatnonzero(slot >= 0)
-        for a in range(0, len(head), 2048):
-            part = head[a : a + 2048]
-            block = kind[part] - TAIL_CLASSES
-            rows = rows2(hashed[part], block)
-            grad = np.exp(_log_softmax(w[1], rows, model.bias2[block]))
-            grad[np.arange(len(grad)), slot[part]] -= 1
-            _step(w[1], gathered[1], visits[1], rows, grad, rate)
-        for part, bias, digit, _, key in tree_parts(model, token, np.flatnonzero(slot < 0), 2048):
-            rows = rows2(hashed[part], key, len(w[2]) // FEATURES)
-            grad = np.exp(_log_softmax(w[2], rows, bias))
-            grad[np.arange(len(grad)), digit] -= 1
-            _step(w[2], gathered[2], visits[2], rows, grad, rate)
-    return w, visits
-
-
-_CHUNK = 2048  # rows of weights in a message
-
-
-def train_round(texts: DataFrame, model: Model, offset: int, stride: int) -> Model:
-    """One round over all texts: the visit-weighted mean of all tasks' changes."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+        hashed = features(token, starts)
+        symbol = model.symbols.symbol(token, model.symbols.find(token))
+        code, gone = tree.code[symbol], model.gone[symbol]
+        for a in range(0, len(token), BLOCK):
+            part = slice(a, a + BLOCK)
+            lost = gone[part]
+            for at, _, branch, rows in steps(tree, hashed[:, part], code[part]):
+                n = UNIT - (lost if at is None else lost.take(at))
+                for k in range(FEATURES):
+                    np.add.at(taken[k], rows[k] * BRANCHES + branch, n)
+                    if at is None:
+                        some = np.flatnonzero(lost)
+                        np.add.at(taken[k], rows[k][some] * BRANCHES + BRANCHES - 1, lost[some])
+                if expected:
+                    _, e = _exp_logits(model.weights, rows)
+                    p = e / (e @ _ONES)[:, None] * (1.0 if at is None else n[:, None] / UNIT)
+                    for k in range(FEATURES):
+                        np.add.at(hoped[k], (rows[k][:, None] * BRANCHES + ar).ravel(), p.ravel().astype(np.float64))
+    return taken, hoped
+
+
+def step(taken: np.ndarray, hoped: np.ndarray, share: np.ndarray, rate: float, prior: float = PRIOR) -> np.ndarray:
+    """The change of weights (rows x branches): O - E, scaled; none where the share by counts is nothing."""
+    p = np.exp(share, dtype=np.float64) * prior
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(share > _NONE, rate * (np.log(taken + p) - np.log(hoped + p)), 0.0).astype(np.float32)
+
+
+_CHUNK = 4096  # rows of weights in a message
+SUMS = "chunk int, body binary"
+
+
+def train_round(texts: DataFrame, model: Model, rate: float, first: bool) -> Model:
+    """One round over every place of all texts: sums of O (and E), then one step of all weights."""
+    context = texts.sparkSession.sparkContext
+    tree = model.tree
+    shared = context.broadcast(Model(model.symbols, replace(tree, share=tree.share[:0]), [] if first else model.weights, model.gone))
+    shares = context.broadcast(replace(tree, code=tree.code[:0], child=tree.child[:0]))
+    kinds = np.uint32, np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-
         def parts():
             for batch in batches:
                 column = batch.column(0).to_pylist()
                 for a, b in slices(column, 4000, 2_000_000):
                     yield tokens(column[a:b])
 
-        w, visits = train_local(m, parts(), offset, stride)
-        for level, (new, old, n) in enumerate(zip(w, (m.w1, m.w2, m.w3), visits, strict=True)):
-            for a in range(0, len(new), _CHUNK):
-                part = slice(a, a + _CHUNK)
-                if n[part].any():
-                    body = (new[part] - old[part]).astype(np.float16).tobytes() + n[part].tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([level * 1000 + a // _CHUNK], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"]
-                    )
+        for kind, tables in enumerate(gradient_sums(shared.value, parts(), not first)):
+            for k, table in enumerate(tables):
+                for a in range(0, len(table), _CHUNK * BRANCHES):
+                    body = table[a : a + _CHUNK * BRANCHES]
+                    if body.any():
+                        number = (k * 1000 + a // (_CHUNK * BRANCHES)) * 2 + kind
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["chunk", "body"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of visits x change and of visits, per chunk; as many as the weights have, however many come in."""
+        """Sums per chunk, as large as the weights however many come in, then the step of each chunk."""
+        tree = shares.value
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wide = CLASSES if chunk < 1000 else BLOCK
-                change = np.frombuffer(body, np.float16, _CHUNK * wide).reshape(_CHUNK, wide).astype(np.float32)
-                n = np.frombuffer(body, np.float32, _CHUNK, _CHUNK * wide * 2)
-                if chunk not in sums:
-                    sums[chunk] = [np.zeros((_CHUNK, wide), np.float32), np.zeros(_CHUNK, np.float32)]
-                sums[chunk][0] += change * n[:, None]
-                sums[chunk][1] += n
-        for chunk, (change, n) in sums.items():
-            body = (change / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()
+            for number, body in zip(batch.column(0), batch.column(1), strict=True):
+                chunk, kind = divmod(number.as_py(), 2)
+                values = np.frombuffer(body.as_buffer(), kinds[kind])
+                both = sums.setdefault(chunk, [np.zeros(len(values), np.int64), np.zeros(0 if first else len(values))])
+                both[kind] += values
+        node = {other: tree.shares_by_row(other) for other in (0, 1)}
+        for chunk, (taken, hoped) in sums.items():
+            k, a = divmod(chunk, 1000)
+            share = tree.share[node[k > 0][a * _CHUNK : (a + 1) * _CHUNK]]
+            o = taken.reshape(-1, BRANCHES) / UNIT
+            e = o.sum(1, keepdims=True) * np.exp(share, dtype=np.float64) if first else hoped.reshape(-1, BRANCHES)
+            body = step(o, e, share, rate).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"])
 
-    changes = texts.select("text").mapInArrow(tidy(run), "chunk int, body binary").repartition("chunk").mapInArrow(tidy(add), "chunk int, body binary")
-    out = replace(model, w1=model.w1.copy(), w2=model.w2.copy(), w3=model.w3.copy())
-    for r in changes.toLocalIterator():
-        table = (out.w1, out.w2, out.w3)[r["chunk"] // 1000]
-        wide = table.shape[1]
-        a = r["chunk"] % 1000 * _CHUNK
-        table[a : a + _CHUNK] += np.frombuffer(r["body"], np.float32).reshape(_CHUNK, wide)
+    changes = texts.select("text").mapInArrow(tidy(run), SUMS).repartition(F.floor(F.col("chunk") / 2)).mapInArrow(tidy(add), SUMS)
+    weights = [w.copy() for w in model.weights]
+    table = changes.toArrow()  # as large as the weights
+    for number, body in zip(table.column("chunk"), table.column("body"), strict=True):
+        k, a = divmod(number.as_py(), 1000)
+        change = np.frombuffer(body.as_buffer(), np.float32).reshape(-1, BRANCHES)
+        weights[k][a * _CHUNK : a * _CHUNK + len(change)] += change
+    for w in weights[1:]:
+        w[0] = 0  # the row of nodes without rows
     shared.destroy()
-    return out
+    shares.destroy()
+    return Model(model.symbols, tree, weights, model.gone)
+
+
+def _level() -> F.Column:
+    return F.floor(F.log2("n") * 16).cast("int")
 
 
-def head_of(counts: DataFrame, limit: int = HEAD_LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and their counts: all from some count on, at most ``limit``, sorted by token."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+def head_level(counts: DataFrame, limit: int) -> int | None:
+    """The least level of counts from which on at most ``limit`` tokens are left."""
     least, total = None, 0
-    for r in sizes:
+    for r in sorted(counts.groupBy(_level().alias("level")).count().collect(), reverse=True):
         total += r["count"]
         if total > limit:
             break
         least = r["level"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = counts.where(level >= least).toArrow()
-    token = table.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    return token[order], table.column("n").to_numpy()[order]
+    return least
+
+
+def gather_tail(tail: DataFrame, symbols: Symbols, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets the buckets of ``symbols`` for the tokens of ``tail``; returns the buckets' tokens and types."""
+    ending = F.shiftrightunsigned(F.col("token"), 52).cast("int")
+    types = np.zeros(4096, np.int64)
+    for r in tail.groupBy(ending.alias("ending")).count().collect():
+        types[r["ending"]] = r["count"]
+    share = np.floor(np.log2(np.maximum(1.0, types * (limit - 4096) / max(types.sum(), 1)))).astype(np.int64)
+    symbols.bits = np.minimum(share, 20).astype(np.uint64)
+    sizes = 1 << symbols.bits.astype(np.int64)
+    symbols.first = np.cumsum(sizes) - sizes
+    plain = Symbols(bits=symbols.bits, first=symbols.first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = plain.bucket(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), batch.column(1)], ["bucket", "n"])
+
+    rows = tail.mapInArrow(tidy(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    n, v = np.zeros(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), np.int64)
+    table = rows.toArrow()
+    at = table.column("bucket").to_numpy()
+    n[at], v[at] = table.column("n").to_numpy(), table.column("v").to_numpy()
+    return n, v
+
+
+def start_model(counts: DataFrame, head_limit: int = HEAD_LIMIT, tail_limit: int = TAIL_LIMIT) -> tuple[Model, int, int, int | None]:
+    """The symbols and the tree, with weights of zero; all tokens, all types, and the level under which counts are in buckets."""
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    least = head_level(counts, head_limit)
+    symbols = Symbols()
+    if least is not None:
+        table = counts.where(_level() >= least).toArrow()
+        token = table.column("token").to_numpy().view(np.uint64)
+        order = np.argsort(token)
+        symbols.token, symbols.count = token[order], table.column("n").to_numpy()[order]
+    tail_n = tail_v = np.zeros(0, np.int64)
+    rest = totals["v"] > len(symbols.token)
+    if rest:
+        tail = counts if least is None else counts.where(_level() < least)
+        tail_n, tail_v = gather_tail(tail, symbols, tail_limit)
+    some = np.flatnonzero(tail_v)
+    ending = np.repeat(np.arange(4096, dtype=np.uint64), 1 << symbols.bits.astype(np.int64))[: len(tail_v)]
+    place = (np.arange(len(ending)) - symbols.first[ending.astype(np.int64)]).astype(np.uint64)
+    low = (ending << _ENDING) | (place << (np.uint64(52) - symbols.bits[ending.astype(np.int64)]))
+    order = np.argsort(np.concatenate([symbols.token, low[some]]), kind="stable")
+    n = np.concatenate([symbols.count, tail_n[some]])[order].astype(float)
+    v = np.concatenate([np.ones(len(symbols.token)), tail_v[some]])[order]
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order), dtype=np.int32)
+    symbols.own, symbols.size = back[: len(symbols.token)], tail_n
+    symbols.shared = np.full(len(tail_v), -1, np.int32)
+    symbols.shared[some] = back[len(symbols.token) :]
+    symbols.index()
+    tree = grow_tree(n - DISCOUNT * v, DISCOUNT * totals["v"])
+    weights = [np.zeros((tree.rows[k > 0], BRANCHES), np.float32) for k in range(FEATURES)]
+    weights[0] += tree.share[tree.shares_by_row(0)]
+    gone = np.round(UNIT * DISCOUNT * v / np.maximum(n, 1)).astype(np.uint32)
+    return Model(symbols, tree, weights, gone), totals["n"], totals["v"], least if rest else None
 
 
 @dataclass
-class Totals:
+class Fitted:
+    """A trained model with what scoring needs beside it."""
+
+    model: Model
     n: int
     v: int
-    class_n: np.ndarray  # tokens and types of the tail classes
-    class_v: np.ndarray
-
-
-def start_model(counts: DataFrame, limit: int = HEAD_LIMIT) -> tuple[Model, Totals]:
-    """The table of frequent tokens, and weights as the counts alone give them."""
-    model = Model()
-    model.token, model.count = head_of(counts, limit)
-    best = np.lexsort((model.token, -model.count))[: HEAD_CLASSES * BLOCK]
-    model.slot = np.full(len(model.token), -1)
-    model.slot[best] = np.arange(len(best))
-    low = F.col("token").bitwiseAND(F.lit(TAIL_CLASSES - 1)).cast("int")
-    class_n, class_v = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
-    for r in counts.groupBy(low.alias("kind")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        class_n[r["kind"]], class_v[r["kind"]] = r["n"], r["v"]
-    totals = Totals(int(class_n.sum()), int(class_v.sum()), class_n, class_v)
-    kind = (model.token[best] & _LOW).astype(np.int64)
-    np.subtract.at(class_n, kind, model.count[best])
-    np.subtract.at(class_v, kind, 1)
-    head = np.zeros(HEAD_CLASSES * BLOCK)
-    head[: len(best)] = model.count[best]
-    blocks = head.reshape(HEAD_CLASSES, BLOCK)
-    model.bias1 = np.log(np.concatenate([class_n, blocks.sum(1)]) + 0.5).astype(np.float32)
-    model.bias2 = np.log(blocks + 1e-6).astype(np.float32)
-    model.tree = tail_tree(counts, model.token[best], model.count[best], int(class_v.sum()))
-    if model.tree:
-        size = min(ROWS3, max(ROWS2, 1 << (totals.v // 32).bit_length()))
-        model.w3 = np.zeros((FEATURES * size, BLOCK), np.float32)
-    return model, totals
-
-
-def tail_tree(counts: DataFrame, head: np.ndarray, head_n: np.ndarray, types: int) -> list[np.ndarray]:
-    """Log shares by counts of each node's branches, level by level, of all tokens but ``head``; of a bounded size."""
-    if types <= 0:
-        return []
-    depth = next((d for d in range(1, DEPTH) if TAIL_CLASSES << DIGIT * d >= types), DEPTH)
-    leaves = TAIL_CLASSES << DIGIT * depth
-    rows = counts.groupBy(F.col("token").bitwiseAND(F.lit(leaves - 1)).cast("int").alias("leaf"))
-    table = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("v")).toArrow()
-    n, v = np.zeros(leaves, np.int64), np.zeros(leaves, np.int32)
-    leaf = table.column("leaf").to_numpy()
-    n[leaf], v[leaf] = table.column("n").to_numpy(), table.column("v").to_numpy()
-    leaf = (head & np.uint64(leaves - 1)).astype(np.int64)
-    np.subtract.at(n, leaf, head_n)
-    np.subtract.at(v, leaf, 1)
-    # digits from the lowest are the axes from the last: turned round, the class is the first
-    mass = np.where(v > 0, n - DISCOUNT * v, 0.0).reshape([BLOCK] * depth + [TAIL_CLASSES]).transpose()
-    out = []
-    for level in range(depth):
-        own = mass.sum(tuple(range(level + 2, depth + 1))).reshape(-1, BLOCK)
-        whole = own.sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append(np.where(own > 0, np.log(own / whole), _NONE).astype(np.float32))
-    return out
-
-
-def _tail_terms(totals: Totals, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of what an unknown token of each tail class gets, and log10 of the class's tokens.
-
-    A class without tokens gives all to its unknowns."""
-    types = discount * totals.class_v
-    empty = totals.class_n <= 0
-    return np.log10(np.where(empty, 1.0, np.maximum(types, 1e-300))), np.log10(np.where(empty, 1.0, np.maximum(totals.class_n, 1)))
-
-
-PART = "part_id bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, more array<float>"
-
-
-def score(docs: DataFrame, model: Model, totals: Totals, counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    tail: DataFrame | None  # ``token, n`` of the tokens that are no symbol of their own
+
+
+def fit(texts: DataFrame, rounds: int = 1, rate: float = 0.55, later: float = 0.25, head_limit: int = HEAD_LIMIT, tail_limit: int = TAIL_LIMIT) -> Fitted:
+    """Counts over all texts, then ``rounds`` synchronous rounds, each over every place of every text."""
+    if rounds < 1:
+        raise ValueError("no round, no weights")
+    counts = materialise(count_tokens(texts), "counts")
+    model, n, v, least = start_model(counts, head_limit, tail_limit)
+    if n:
+        for r in range(rounds):
+            model = train_round(texts, model, later if r else rate, not r)
+    tail = None
+    if v > len(model.symbols.token):
+        tail = counts if least is None else counts.where(_level() < least)
+    return Fitted(model, n, v, tail)
+
+
+PART = "part_id bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, shared array<float>, lost array<float>"
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    Tokens outside the broadcast table are looked up in ``counts`` by a join and their terms added.
+    A token that is no symbol of its own is looked up among the counts by a join: if it is there it gets its share of
+    its bucket's symbol, else it is the unknown; the text brings the logs of both.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model, totals))
-    unknown, size = _tail_terms(totals, discount)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    complete = fitted.tail is None
 
     def make():
-        m, _ = shared.value
-        counted = m.count.astype(float)
-        known_base = np.log10(counted + 0.5)
-        known_tail = np.where(m.slot >= 0, 0.0, np.log10(np.maximum(counted - discount, 1e-12)))
+        m = shared.value
+        s = m.symbols
+        known_base = np.append(np.log10(s.count + 0.5), np.log10(0.5))
+        size = np.log10(np.maximum(s.size, 1))
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(2).to_pylist()
-            n, known, base, total, rare, more = [], [], [], [], [], []
+            n, known, base, total, rare, inside, lost = [], [], [], [], [], [], []
             for a, b in slices(texts, 4000, 1_000_000):
                 token, starts = tokens(texts[a:b])
-                at = m.find(token)
-                kind, slot = m.target(token, at)
+                at = s.find(token)
+                symbol = s.symbol(token, at)
+                code = m.tree.code.take(np.maximum(symbol, 0)) if len(m.tree.code) else np.zeros(len(token), np.int64)
+                code[symbol < 0] = BRANCHES - 1
+                own, unknown = (x / np.log(10) for x in log_probs(m, features(token, starts), code))
                 found = at >= 0
-                each, branch = known_log_probs(m, token, starts, at)
-                each, branch = (each + np.where(found, branch, 0.0)) / np.log(10), (branch / np.log(10)).astype(np.float32)
-                each += np.where(found, known_tail[at], 0.0) if len(m.token) else 0.0
-                each -= np.where(slot < 0, size[np.minimum(kind, TAIL_CLASSES - 1)], 0.0)
-                first = np.where(found, known_base[at], 0.0) if len(m.token) else np.zeros(len(token))
+                first = known_base.take(at)
+                if not complete:
+                    missing = np.flatnonzero(~found)
+                    paths = own[missing]
+                    own[missing] = first[missing] = 0.0
                 n += np.diff(starts).tolist()
                 known += np.add.reduceat(found.astype(np.int64), starts[:-1]).tolist()
                 base += np.add.reduceat(first, starts[:-1]).tolist()
-                total += np.add.reduceat(each, starts[:-1]).tolist()
-                missing = np.flatnonzero(~found)
+                total += np.add.reduceat(own, starts[:-1]).tolist()
+                if complete:
+                    continue
                 cut = np.searchsorted(missing, starts)
-                left = token[missing].view(np.int64)
-                branch = branch[missing]
-                ranges = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-                rare += [left[x:y] for x, y in ranges]
-                more += [branch[x:y] for x, y in ranges]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(total, pa.float64()),
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(more, pa.list_(pa.float32())),
-                ],
-                [x.split()[0] for x in PART.split(", ")],
-            )
+                word = token[missing]
+                part = (paths - size[s.bucket(word)]).astype(np.float32)
+                none = unknown[missing].astype(np.float32)
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    rare.append(word[x:y].view(np.int64))
+                    inside.append(part[x:y])
+                    lost.append(none[x:y])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())]
+            if not complete:
+                columns += [pa.array(rare, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.float32())), pa.array(lost, pa.list_(pa.float32()))]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
         return f
 
+    schema = ", ".join(PART.split(", ")[: 6 if complete else 9])
     rows = docs.select(F.monotonically_increasing_id().alias("part_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = materialise(over_batches(rows, make, PART), "scored")
-    rare = parts.select("part_id", F.explode(F.arrays_zip("rare", "more")).alias("x")).select("part_id", F.col("x.rare").alias("token"), F.col("x.more").alias("branch"))
-    kind = F.col("token").bitwiseAND(F.lit(TAIL_CLASSES - 1)).cast("int")
-    no_count = F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), kind + 1)
-    joined = rare.join(counts, "token", "left")
-    terms = joined.groupBy("part_id").agg(
-        F.count("n").alias("more_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_base"),
-        F.sum(F.when(F.col("n").isNull(), no_count).otherwise(F.log10(F.col("n") - discount) + F.col("branch"))).alias("more_score"),
-    )
-    whole = parts.drop("rare", "more").join(terms, "part_id", "left")
-    scale = float(np.log10(totals.n + 0.5 * (totals.v + 1)))
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    whole = over_batches(rows, make, schema)
+    more = {"n_known": F.lit(0), "base": F.lit(0.0), "score": F.lit(0.0)}
+    if not complete:
+        parts = materialise(whole, "scored")
+        rare = parts.select("part_id", F.inline(F.arrays_zip("rare", "shared", "lost"))).withColumnRenamed("rare", "token")
+        joined = rare.join(fitted.tail, "token", "left")
+        terms = joined.groupBy("part_id").agg(
+            F.count("n").alias("more_known"),
+            F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_base"),
+            F.sum(F.when(F.col("n").isNull(), F.col("lost")).otherwise(F.log10("n") + F.col("shared"))).alias("more_score"),
+        )
+        whole = parts.drop("rare", "shared", "lost").join(terms, "part_id", "left")
+        more = {k: F.coalesce(f"more_{k.removeprefix('n_')}", F.lit(0)) for k in more}
+    scale = float(np.log10(fitted.n + 0.5 * (fitted.v + 1)))
     return whole.select(
         "doc_id",
         "n_tokens",
-        plus("n_known", "more_known").alias("n_known"),
-        F.lit(totals.n).cast("bigint").alias("train_tokens"),
-        (plus("base", "more_base") - F.col("n_tokens") * scale).alias("base_score"),
-        plus("score", "more_score").alias("score"),
+        (F.col("n_known") + more["n_known"]).cast("bigint").alias("n_known"),
+        F.lit(fitted.n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + more["base"] - F.col("n_tokens") * scale).alias("base_score"),
+        (F.col("score") + more["score"]).alias("score"),
     )
-
-
-def fit(texts: DataFrame, rounds: int = 2, stride: int = 2) -> tuple[Model, Totals, DataFrame]:
-    """Counts over all texts, then ``rounds`` rounds of distributed updates, which together visit every place."""
-    if not 1 <= stride <= rounds:
-        raise ValueError(f"{rounds} rounds of every {stride}th place leave places out")
-    counts = materialise(count_tokens(texts), "counts")
-    model, totals = start_model(counts)
-    if totals.n:
-        for r in range(rounds):
-            model = train_round(texts, model, r % stride, stride)
-    return model, totals, counts

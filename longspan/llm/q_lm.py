@@ -10,7 +10,7 @@ from .lm import fit, score
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs, *fit(docs.where(fold("doc_id", 5) != 1)))
+    scored = score(docs, fit(docs.where(fold("doc_id", 5) != 1)))
     return scored.withColumn("held_out", fold("doc_id", 5) == 1)
 
 
