@@ -21,7 +21,7 @@ Training.  A round sums, over every place of every training text and for each we
 weights and only sums leave them, so the result doesn't depend on how the texts are split.  The step is
 ``rate`` * (log(O + PRIOR p) - log(E + PRIOR p)), the gradient scaled by a positive amount for each weight, p being
 the share by counts.  In the first round, from weights of zero, E is p times the row's visits exactly, as a
-row belongs to one node.  O is summed in whole 64ths.
+row belongs to one node.  O is summed in whole 16ths.
 
 Null and empty texts are one end; repeated rows are scored alike, each with its own row id in the join; without
 training texts N = V = 0 and every token is unknown; an empty table gives an empty one; other columns are
@@ -48,8 +48,8 @@ TOKENS_A_ROW = 12
 LEAST_MASS = 24
 FEATURES = 4
 DISCOUNT, PRIOR = 0.6, 30.0
-UNIT = 64
-BLOCK = 16_384  # places at once
+UNIT = 16
+BLOCK = 32_768  # places at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ENDING = np.uint64(52)
 _NONE = np.float32(-60.0)  # log share of a branch that nothing takes
@@ -178,8 +178,32 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 class Model:
     symbols: Symbols
     tree: Tree
-    weights: list[np.ndarray]  # a feature: rows x BRANCHES; those of feature 0 hold the log shares as well
-    gone: np.ndarray  # of each symbol, the 64ths of a use that count for the unknown
+    weights: list[np.ndarray]  # a feature: rows x BRANCHES; as ``Parcel.open`` gives them, feature 0 has the log shares added
+    gone: np.ndarray  # of each symbol, how much of a use, in ``UNIT`` ths, counts for the unknown
+
+
+class Parcel:
+    """A model on its way to the tasks: no index, narrow numbers, weights in half precision beside the log shares."""
+
+    def __init__(self, model: Model, weights: bool):
+        tree = model.tree
+        self.symbols = replace(model.symbols, table=model.symbols.table[:0])
+        self.tree = replace(tree, base=tree.base.astype(np.int32), size=tree.size.astype(np.int32), share=tree.share if weights else tree.share[:0])
+        self.gone = model.gone
+        self.weights = [w.astype(np.float16) for w in model.weights] if weights else []
+        self.model: Model | None = None
+
+    def open(self) -> Model:
+        """The model, made once a worker."""
+        if self.model is None:
+            self.symbols.index()
+            tree = replace(self.tree, base=self.tree.base.astype(np.int64), size=self.tree.size.astype(np.int64))
+            weights = [w.astype(np.float32) for w in self.weights]
+            if weights:
+                weights[0] += tree.share[tree.shares_by_row(0)]
+            self.weights = []
+            self.model = Model(self.symbols, tree, weights, self.gone)
+        return self.model
 
 
 def grow_tree(mass: np.ndarray, unknown: float, rows_limit: int = ROWS_LIMIT, tokens_a_row: int = TOKENS_A_ROW) -> Tree:
@@ -297,7 +321,7 @@ def log_probs(model: Model, hashed: np.ndarray, code: np.ndarray) -> tuple[np.nd
 
 
 def gradient_sums(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], expected: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(O in 64ths, E in uses) of each feature's weights over token arrays; without ``expected`` no E."""
+    """(O in ``UNIT`` ths, E in uses) of each feature's weights over token arrays; without ``expected`` no E."""
     tree = model.tree
     taken = [np.zeros(tree.rows[k > 0] * BRANCHES, np.uint32) for k in range(FEATURES)]
     hoped = [np.zeros(tree.rows[k > 0] * BRANCHES, np.float64) for k in range(FEATURES if expected else 0)]
@@ -339,9 +363,14 @@ def train_round(texts: DataFrame, model: Model, rate: float, first: bool) -> Mod
     """One round over every place of all texts: sums of O (and E), then one step of all weights."""
     context = texts.sparkSession.sparkContext
     tree = model.tree
-    shared = context.broadcast(Model(model.symbols, replace(tree, share=tree.share[:0]), [] if first else model.weights, model.gone))
+    shared = context.broadcast(Parcel(model, not first))
     shares = context.broadcast(replace(tree, code=tree.code[:0], child=tree.child[:0]))
     kinds = np.uint32, np.float64
+    wide = _CHUNK * BRANCHES
+    thin = texts.select("text")
+    splits = thin.rdd.getNumPartitions()
+    # a task's sums are as large however little it reads, so small splits are read together, eight at most
+    thin = thin.coalesce(max(1, -(-splits // 8), min(splits, 2 * context.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -350,13 +379,14 @@ def train_round(texts: DataFrame, model: Model, rate: float, first: bool) -> Mod
                 for a, b in slices(column, 4000, 2_000_000):
                     yield tokens(column[a:b])
 
-        for kind, tables in enumerate(gradient_sums(shared.value, parts(), not first)):
+        for kind, tables in enumerate(gradient_sums(shared.value.open(), parts(), not first)):
             for k, table in enumerate(tables):
-                for a in range(0, len(table), _CHUNK * BRANCHES):
-                    body = table[a : a + _CHUNK * BRANCHES]
-                    if body.any():
-                        number = (k * 1000 + a // (_CHUNK * BRANCHES)) * 2 + kind
-                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["chunk", "body"])
+                for a in range(0, len(table), wide):
+                    part = table[a : a + wide]
+                    if part.any():
+                        number = (k * 1000 + a // wide) * 2 + kind
+                        body = pa.compress(part.tobytes(), "zstd", asbytes=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums per chunk, as large as the weights however many come in, then the step of each chunk."""
@@ -365,7 +395,9 @@ def train_round(texts: DataFrame, model: Model, rate: float, first: bool) -> Mod
         for batch in batches:
             for number, body in zip(batch.column(0), batch.column(1), strict=True):
                 chunk, kind = divmod(number.as_py(), 2)
-                values = np.frombuffer(body.as_buffer(), kinds[kind])
+                k, a = divmod(chunk, 1000)
+                size = min(wide, tree.rows[k > 0] * BRANCHES - a * wide)
+                values = np.frombuffer(pa.decompress(body.as_buffer(), size * np.dtype(kinds[kind]).itemsize, "zstd"), kinds[kind])
                 both = sums.setdefault(chunk, [np.zeros(len(values), np.int64), np.zeros(0 if first else len(values))])
                 both[kind] += values
         node = {other: tree.shares_by_row(other) for other in (0, 1)}
@@ -377,7 +409,7 @@ def train_round(texts: DataFrame, model: Model, rate: float, first: bool) -> Mod
             body = step(o, e, share, rate).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([body], pa.binary())], ["chunk", "body"])
 
-    changes = texts.select("text").mapInArrow(tidy(run), SUMS).repartition(F.floor(F.col("chunk") / 2)).mapInArrow(tidy(add), SUMS)
+    changes = thin.mapInArrow(tidy(run), SUMS).repartition(F.floor(F.col("chunk") / 2)).mapInArrow(tidy(add), SUMS)
     weights = [w.copy() for w in model.weights]
     table = changes.toArrow()  # as large as the weights
     for number, body in zip(table.column("chunk"), table.column("body"), strict=True):
@@ -461,7 +493,6 @@ def start_model(counts: DataFrame, head_limit: int = HEAD_LIMIT, tail_limit: int
     symbols.index()
     tree = grow_tree(n - DISCOUNT * v, DISCOUNT * totals["v"])
     weights = [np.zeros((tree.rows[k > 0], BRANCHES), np.float32) for k in range(FEATURES)]
-    weights[0] += tree.share[tree.shares_by_row(0)]
     gone = np.round(UNIT * DISCOUNT * v / np.maximum(n, 1)).astype(np.uint32)
     return Model(symbols, tree, weights, gone), totals["n"], totals["v"], least if rest else None
 
@@ -500,11 +531,11 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     A token that is no symbol of its own is looked up among the counts by a join: if it is there it gets its share of
     its bucket's symbol, else it is the unknown; the text brings the logs of both.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    shared = docs.sparkSession.sparkContext.broadcast(Parcel(fitted.model, True))
     complete = fitted.tail is None
 
     def make():
-        m = shared.value
+        m = shared.value.open()
         s = m.symbols
         known_base = np.append(np.log10(s.count + 0.5), np.log10(0.5))
         size = np.log10(np.maximum(s.size, 1))
