@@ -14,6 +14,7 @@ an empty table gives an empty one; further columns of the input are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
@@ -42,9 +43,10 @@ class ChunkTokenizer:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of
     its chunks put together; inside a chunk it cuts words that are coded alone, the last id of each marked as a
-    word's end.  New words are coded many at a time and cut at those marks.  Chunks with characters beyond
-    Latin-1 or with control characters go to the tokenizer whole, which leaves all Unicode rules to it.  Each
-    cache keeps at most ``limit`` entries; what comes later is coded for its batch only.
+    word's end.  New words are given many at a time to the tokenizer's model, already cut and normalised, and their
+    ids cut at those marks.  Chunks with characters beyond Latin-1, with control characters or with a special
+    token's text go to the tokenizer whole, which leaves all Unicode rules and special tokens to it.  Each cache
+    keeps at most ``limit`` entries; what comes later is coded for its batch only.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS):
@@ -52,7 +54,10 @@ class ChunkTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.model = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.special = [x["content"] for x in parts["added_tokens"]]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
@@ -64,7 +69,8 @@ class ChunkTokenizer:
         out = {}
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            bare = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in part]
+            ids = np.array(self.model.encode_batch_fast([bare], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary doesn't mark the end of each word")
@@ -76,7 +82,10 @@ class ChunkTokenizer:
         """The ids of new chunks; those that don't fit into the cache are only returned."""
         cut, odd, new = {}, [], set()
         for x in chunks:
-            if _PLAIN(x):
+            if x.isascii() and x.isalpha():
+                cut[x] = [w := x.lower()]
+                new.add(w)
+            elif _PLAIN(x) and not any(s in x for s in self.special):
                 cut[x] = ws = _WORDS(x.lower())
                 new.update(ws)
             else:
@@ -120,6 +129,8 @@ def _blanks(text: str) -> str:
 
 
 _PLAIN = re.compile(r"[!-~\xa1-\xff]*").fullmatch
+#: The characters that the vocabulary's byte alphabet has for bytes 0x80 to 0xFF, with which words beyond ASCII are written.
+_BYTES: dict[int, int] = {**{i: 0x121 + i - 0x7F for i in range(0x7F, 0xA1)}, 0xAD: 0x143}
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+").findall
 
