@@ -228,13 +228,47 @@ def distance(item, text):
     return min(row)
 
 
+def aligned(item, text, low, width):
+    codes = decontam._codes(text)
+    found = decontam.align(decontam._codes(item), codes, np.array([0]), np.array([len(codes)]), np.array([low]), width)
+    return tuple(int(x[0]) for x in found)
+
+
 def test_alignment_by_definition():
     rnd = random.Random(4)
     for _ in range(200):
         item = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9)))
         text = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 14)))
-        n, a, b = decontam.align(decontam._codes(item), decontam._codes(text), 99)
+        n, a, b = aligned(item, text, -len(item), len(item) + len(text) + 1)
         assert n == distance(item, text) and distance(item, text[a:b]) == n
+        assert all(distance(item, text[:e]) > n for e in range(b))  # the leftmost end
+    # many texts at once, on a band only
+    texts = ["xxabcdefghxx", "abcdefgh", "zzzz", ""]
+    codes = decontam._codes("\0".join(texts))
+    begin = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+    got = decontam.align(decontam._codes("abcdefgh"), codes, begin, begin + [len(x) for x in texts], np.array([1, -1, -1, -1]), 3)
+    assert got[0][:2].tolist() == [0, 0] and got[1][:2].tolist() == [2, 0] and got[2][:2].tolist() == [10, 8] and (got[0][2:] >= 4).all()
+
+
+def test_repetitive_texts(monkeypatch):
+    """A text of one repeated character costs neither memory nor minutes, and is found as brute force finds it."""
+    items = [(1, "_" * 300), (2, "_" * 300 + "x" + "_" * 30), (3, "ab" * 100), (4, "a normal question about nothing?")]
+    index = decontam.ItemIndex(items)
+    import resource
+    import time
+
+    began, peak = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    texts = ["_" * 1_000_000, "ab" * 200_000, "_" * 299 + " a normal question about nothing! " + "_" * 400]
+    found = {(i, j): (a, n, e) for i, j, a, n, e, _ in decontam.search(index, texts)}
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - peak < 1_000_000
+    assert found[0, 1] == (0, 300, 0) and found[0, 2][2] == 1 and found[1, 3] == (0, 200, 0)
+    assert found[2, 1][2] == 0 and found[2, 4][2] == 1 and (0, 3) not in found and (0, 4) not in found
+    # the way of many hits gives what the usual one does
+    rnd = random.Random(6)
+    many = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 300))) + "_" * rnd.randint(0, 600) + "ab" * rnd.randint(0, 200) for _ in range(30)]
+    usual = list(decontam.search(index, many))
+    monkeypatch.setattr(decontam, "LIMIT", 0)
+    assert list(decontam.search(index, many)) == usual and len(usual) > 10
 
 
 def test_no_item_within_the_budget_is_missed():
@@ -272,6 +306,31 @@ def test_decontamination_tables(spark):
     assert decontam.find_items(documents(spark), items.where("false")).count() == 0
 
 
+def test_decontamination_query_by_brute_force(spark):
+    """The registered query on the small tables: every exact passage is found, nothing above the budget, edits as by definition."""
+    import pandas as pd
+
+    from longspan.llm import registry
+    from tests.helpers import SF
+
+    got = registry.queries()["op10_decontamination"](spark, SF).toPandas()
+    docs = dict(pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].values.tolist())
+    items = dict(pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].values.tolist())
+    clean = {i: decontam.canonical(t) for i, t in docs.items()}
+    found = {(r.doc_id, r.item_id): r for r in got.itertuples()}
+    assert len(found) == len(got)
+    for i, text in clean.items():
+        for j, item in items.items():
+            x = decontam.canonical(item)
+            if x and x in text:
+                r = found[i, j]
+                assert (r.n_edits, r.start, r.length) == (0, text.index(x), len(x))
+    for (i, j), r in found.items():
+        x = decontam.canonical(items[j])
+        assert r.n_edits <= decontam.budget(len(x), decontam.Q, decontam.EDITS)
+        assert distance(x, clean[i][r.start : r.start + r.length]) == r.n_edits
+
+
 @pytest.mark.parametrize("name", ("op2_line_dedup", "op3_license_scan", "op5_minhash_neardup", "op8_substring_dedup"))
 def test_queries_match_their_sql(spark, name):
     from longspan.llm import registry
