@@ -2,11 +2,12 @@
 
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space
 as in the public SPDX matching guidelines), digested, and hash-joined to the digests of known licence texts.
-Two kinds of entire text are looked up: the whole document, and each of its lines, as a notice such as
-"Released under the MIT License." is itself a known text.  The table of known texts is part of the code, so the
-side that is broadcast has a fixed size; a caller's own table is joined as Catalyst sees fit.
+Three kinds of entire text are looked up: the whole document, each of its paragraphs of several lines, and each of its
+lines, as a notice such as "Released under the MIT License." is itself a known text.  The table of known digests is part
+of the code (``MOST`` at most) and broadcast, so no line is shuffled; a caller's own table goes through
+``known_digests`` as well or is joined as Catalyst sees fit.
 
-Defined results: null texts, and texts and lines of which nothing is left, match nothing; repeated rows are
+Defined results: null texts, and texts, paragraphs and lines of which nothing is left, match nothing; repeated rows are
 reported each under their id (summed if ids repeat); an empty table gives an empty one; other columns are
 ignored.
 """
@@ -127,7 +128,72 @@ WHOLE_TEXTS: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "8ec28632a0d54334f947e2c3422240d2"),
 )
 
-#: Short notices, kept as they read.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE'
+_DEALINGS = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+{_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, {_DEALINGS}"""
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_NO_FEE = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ISC = f"{_FEE}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_NO_FEE}"
+_UNLICENSE = f"""This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+{_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, {_DEALINGS}"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_BSL = f"""Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+{_AS_IS}, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, {_DEALINGS}"""
+
+
+def _forms(body: str, *titles: str) -> list[str]:
+    """A text as it is printed: alone, under its titles, with the line that often follows the copyright line, with or without item numbers."""
+    bare = body.replace("\n1. ", "\n").replace("\n2. ", "\n").replace("\n3. ", "\n")
+    bodies = list(dict.fromkeys((body, bare)))
+    heads = ["", *(f"{x}\n\n" for x in titles)]
+    return [head + more + x for x in bodies for head in heads for more in ("", "All rights reserved.\n\n")]
+
+
+#: Full texts of short licences, in the forms in which they are printed.
+TEXTS: tuple[tuple[str, str], ...] = tuple(
+    (name, form)
+    for name, body, titles in (
+        ("MIT", _MIT, ("MIT License", "The MIT License", "The MIT License (MIT)")),
+        ("BSD-2-Clause", _BSD2, ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License")),
+        ("BSD-2-Clause", _BSD2.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"), ("BSD 2-Clause License",)),
+        ("ISC", _ISC, ("ISC License", "The ISC License", "ISC License (ISC)")),
+        ("0BSD", f"{_FEE}.\n\n{_NO_FEE}", ("BSD Zero Clause License", "Zero-Clause BSD")),
+        ("Unlicense", _UNLICENSE, ("The Unlicense",)),
+        ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>", ("The Unlicense",)),
+        ("Zlib", _ZLIB, ("zlib License", "The zlib License", "zlib/libpng license")),
+        ("BSL-1.0", _BSL, ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License - Version 1.0")),
+    )
+    for form in _forms(body, *titles)
+)
+
+_FREE = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+
+#: Notices, kept as they read: single lines, and headers that are printed as a paragraph.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -141,7 +207,15 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-)
+    ("GPL-2.0", _FREE.format(";", "", ";", "2")),
+    ("GPL-3.0", _FREE.format(":", "", ",", "3")),
+    ("AGPL-3.0", _FREE.format(":", "Affero ", ",", "3")),
+    ("LGPL-2.1", _FREE.format(";", "Lesser ", ";", "2.1").replace("program", "library")),
+    ("LGPL-3.0", _FREE.format(":", "Lesser ", ",", "3").replace("program", "library")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+
+MOST = 100_000  # digests that are broadcast, at most (10 MB)
 
 
 def canonical(text: Column) -> Column:
@@ -157,26 +231,49 @@ def _flat(lines: Column) -> Column:
 
 
 def known_digests(
-    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, whole: tuple[tuple[str, str], ...] = WHOLE_TEXTS
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + TEXTS, whole: tuple[tuple[str, str], ...] = WHOLE_TEXTS
 ) -> DataFrame:
-    """``license_id, digest``, one row a digest, of texts and of digests already made."""
+    """``license_id, digest``, one row a digest, of texts and of digests already made; marked for broadcast, so bounded."""
+    if len(known) + len(whole) > MOST:
+        raise ValueError(f"more than {MOST} texts are not broadcast: join their digests yourself")
     texts = spark.createDataFrame(list(known), "license_id string, text string")
     made = texts.select("license_id", F.md5(_flat(canonical(F.col("text")))).alias("digest"))
     if whole:
         made = made.unionAll(spark.createDataFrame(list(whole), "license_id string, digest string"))
-    return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(made.groupBy("digest").agg(F.min("license_id").alias("license_id")))
+
+
+SEVERAL_LINES = "[^ \\n] *\\n[ \\n]*[^ \\n]"
 
 
 def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """``doc_id, license_id, whole_text, n_lines`` of every document that holds or is a known text."""
+    """``doc_id, license_id, whole_text, n_paragraphs, n_lines`` of every document that holds or is a known text."""
     lines = docs.where("text IS NOT NULL").select("doc_id", canonical(F.col("text")).alias("lines"))
-    unit = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("text"))
+    unit = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    paragraphs = F.filter(F.split("lines", "\n *\n", -1), lambda x: F.regexp_like(x, F.lit(SEVERAL_LINES)))
     units = F.concat(
-        F.array(unit(True, _flat(F.col("lines")))),
-        F.transform(F.filter(F.split("lines", "\n", -1), lambda x: F.trim(x) != ""), lambda x: unit(False, F.trim(x))),
+        F.array(unit("whole", _flat(F.col("lines")))),
+        F.transform(paragraphs, lambda x: unit("paragraph", _flat(x))),
+        F.transform(F.filter(F.split("lines", "\n", -1), lambda x: F.trim(x) != ""), lambda x: unit("line", F.trim(x))),
     )
     rows = lines.select("doc_id", F.explode(units).alias("unit")).where("unit.text <> ''")
-    found = rows.select("doc_id", "unit.whole", F.md5("unit.text").alias("digest")).join(digests, "digest")
+    found = rows.select("doc_id", "unit.kind", F.md5("unit.text").alias("digest")).join(digests, "digest")
     return found.groupBy("doc_id", "license_id").agg(
-        F.max("whole").alias("whole_text"), F.count_if(~F.col("whole")).alias("n_lines")
+        F.max(F.col("kind") == "whole").alias("whole_text"),
+        F.count_if(F.col("kind") == "paragraph").alias("n_paragraphs"),
+        F.count_if(F.col("kind") == "line").alias("n_lines"),
     )
+
+
+def printed_forms(text: str) -> list[str]:
+    """The forms in which a long licence's digests are kept: whole, without its first line, and up to the end of its terms."""
+    ends = ["END OF TERMS AND CONDITIONS", "HOW TO USE THIS LICENSE", "ADDENDUM: How to use"]
+    cut = [text.split(x)[0] for x in ends if x in text]
+    return list(dict.fromkeys(y for x in (text, *cut) for y in (x, x.lstrip().split("\n", 1)[-1])))
+
+
+def make_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(id, digest) of full texts, as ``WHOLE_TEXTS`` keeps them, for extending that table from printed copies."""
+    rows = [(i, form) for i, text in texts for form in printed_forms(text)]
+    made = spark.createDataFrame(rows, "license_id string, text string").select("license_id", F.md5(_flat(canonical(F.col("text")))).alias("digest"))
+    return sorted({(r["license_id"], r["digest"]) for r in made.collect()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .licenses import COPYRIGHT, KNOWN, SPELLINGS, WHOLE_TEXTS, known_digests, scan
+from .licenses import COPYRIGHT, KNOWN, SEVERAL_LINES, SPELLINGS, TEXTS, WHOLE_TEXTS, known_digests, scan
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _flat(column: str) -> str:
 
 
 SQL = f"""
-WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in KNOWN)}),
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in KNOWN + TEXTS)}),
 digests AS (
   SELECT digest, min(license_id) AS license_id FROM (
     SELECT md5({_flat(_canonical("text"))}) AS digest, license_id FROM known
@@ -37,11 +37,15 @@ digests AS (
 ), lines AS (
   SELECT doc_id, {_canonical("text")} AS lines FROM documents WHERE text IS NOT NULL
 ), units AS (
-  SELECT doc_id, true AS whole, {_flat("lines")} AS body FROM lines
+  SELECT doc_id, 'whole' AS kind, {_flat("lines")} AS body FROM lines
   UNION ALL
-  SELECT doc_id, false, trim(unnest(string_split(lines, chr(10))), ' ') FROM lines
+  SELECT doc_id, 'paragraph', {_flat("part")} FROM (SELECT doc_id, unnest(string_split_regex(lines, '\n *\n')) AS part FROM lines)
+  WHERE regexp_matches(part, {_quoted(SEVERAL_LINES)})
+  UNION ALL
+  SELECT doc_id, 'line', trim(unnest(string_split(lines, chr(10))), ' ') FROM lines
 )
-SELECT doc_id, license_id, bool_or(whole) AS whole_text, count(*) FILTER (NOT whole) AS n_lines
+SELECT doc_id, license_id, bool_or(kind = 'whole') AS whole_text, count(*) FILTER (kind = 'paragraph') AS n_paragraphs,
+       count(*) FILTER (kind = 'line') AS n_lines
 FROM units JOIN digests ON md5(body) = digest WHERE body <> ''
 GROUP BY doc_id, license_id
 """
