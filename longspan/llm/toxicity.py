@@ -14,8 +14,11 @@ and K is fitted to clean texts by the mean of the extreme-value law.  A document
 log(1 / E) over its significant segments (E below ``e_max``); a logistic curve, fitted on the labelled texts,
 maps evidence to a score.
 
-The labelled rows used are bounded: ``max_rows`` a class, the lowest by a hash of the text.  The vocabulary kept
-is bounded by ``max_terms``.
+``z`` and ``e_max`` are those of ``ZS`` and ``E_MAXS`` under which each half of the labelled texts has the least
+log loss by the terms of the other half; no other texts are looked at.
+
+The labelled rows used are bounded: ``max_rows`` a class, the lowest by a hash of the id, and of these, in that order,
+as many as come within ``max_chars`` characters (one at least).  The vocabulary kept is bounded by ``max_terms``.
 
 Defined results: null and empty texts have no segment and get the score of no evidence; repeated rows are
 scored alike; without labelled rows of both classes every score is the smoothed share of toxic rows, and
@@ -40,6 +43,7 @@ from .common import over_batches
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (6, 5, 4)
+ZS, E_MAXS = (1.5, 2.0, 2.5, 3.0), (0.01, 0.1, 1.0)
 WINDOW = 32  # so far apart, even a word of the highest score costs more between two uses than the second gains
 
 
@@ -129,16 +133,15 @@ def _lines(rows: list[tuple[str, int]]) -> tuple[Counter, Counter]:
     return counts[1], counts[0]
 
 
-def _log_odds(a: Counter, b: Counter, strength: float, z: float) -> dict[str, tuple[float, float]]:
-    """Term -> (total count, lower bound of its log-odds in ``a`` against ``b``)."""
+def _log_odds(a: Counter, b: Counter, strength: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, their total counts, and the log-odds in ``a`` against ``b`` with their standard deviations."""
     na, nb = sum(a.values()), sum(b.values())
     terms = list(a.keys() | b.keys())
     x, y = (np.array([c[t] for t in terms], float) for c in (a, b))
     prior = strength * (x + y) + 0.05
     total = prior.sum()
     delta = np.log((x + prior) / (na + total - x - prior)) - np.log((y + prior) / (nb + total - y - prior))
-    low = delta - z * np.sqrt(1 / (x + prior) + 1 / (y + prior))
-    return dict(zip(terms, zip((x + y).tolist(), low.tolist(), strict=True), strict=True))
+    return terms, x + y, delta, np.sqrt(1 / (x + prior) + 1 / (y + prior))
 
 
 def _prefixed(counts: Counter, n: int) -> Counter:
@@ -149,27 +152,35 @@ def _prefixed(counts: Counter, n: int) -> Counter:
     return out
 
 
-def fit_terms(
-    rows: list[tuple[str, int]], strength: float, z: float, own: int, cap: float, base: float, max_terms: int
-) -> ToxicityModel:
-    """The scores of words and prefixes; see the module's text."""
-    model = ToxicityModel(base=base)
-    a, b = _lines(rows)
-    if not a or not b:
+class Terms:
+    """The log-odds of the words and prefixes of labelled texts, from which models for any ``z`` are made."""
+
+    def __init__(self, rows: list[tuple[str, int]], strength: float):
+        a, b = _lines(rows)
+        self.some = bool(a and b)
+        self.words = _log_odds(a, b, strength) if self.some else None
+        self.prefixes = [_log_odds(_prefixed(a, n), _prefixed(b, n), strength) for n in PREFIXES] if self.some else []
+
+    def model(self, z: float, own: int, cap: float, base: float, max_terms: int) -> ToxicityModel:
+        """The scores of words and prefixes; see the module's text."""
+        model = ToxicityModel(base=base)
+        if not self.some:
+            return model
+        clamp = lambda s: min(cap, s) if s > 0 else max(s, -2.0) + base
+        for terms, _, delta, spread in self.prefixes:
+            low = delta - z * spread
+            model.prefixes.update({terms[i]: clamp(float(low[i])) for i in np.flatnonzero(low > 0).tolist()})
+        model.prefixes = dict(sorted(model.prefixes.items(), key=lambda t: (-t[1], t[0]))[:max_terms])
+        # all positive words, and those that would back off to a positive prefix though they have counts of their own
+        terms, total, delta, spread = self.words
+        low = delta - z * spread
+        near: dict[str, float] = {}
+        for i in np.flatnonzero((low > 0) | (total >= own)).tolist():
+            w = terms[i]
+            if low[i] > 0 or any(w[:n] in model.prefixes for n in PREFIXES if len(w) >= n):
+                near[w] = clamp(float(low[i]))
+        model.words = dict(sorted(near.items(), key=lambda t: (-abs(t[1]), t[0]))[:max_terms])
         return model
-    clamp = lambda s: min(cap, s) if s > 0 else max(s, -2.0) + base
-    for n in PREFIXES:
-        found = _log_odds(_prefixed(a, n), _prefixed(b, n), strength, z)
-        model.prefixes.update({t: clamp(s) for t, (_, s) in found.items() if s > 0})
-    model.prefixes = dict(sorted(model.prefixes.items(), key=lambda t: (-t[1], t[0]))[:max_terms])
-    # all positive words, and those that would back off to a positive prefix though they have counts of their own
-    near = {
-        w: clamp(s)
-        for w, (k, s) in _log_odds(a, b, strength, z).items()
-        if s > 0 or k >= own and any(w[:n] in model.prefixes for n in PREFIXES if len(w) >= n)
-    }
-    model.words = dict(sorted(near.items(), key=lambda t: (-abs(t[1]), t[0]))[:max_terms])
-    return model
 
 
 def word_scores(get, text: str, base: float) -> np.ndarray:
@@ -190,8 +201,8 @@ def _scored(model: ToxicityModel, texts: list[str]) -> list[np.ndarray]:
     return [word_scores(get, x, model.base) for x in texts]
 
 
-def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray) -> None:
-    """Set the extreme-value law from clean texts and the logistic curve from all."""
+def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray, e_maxs: tuple[float, ...] = E_MAXS) -> float:
+    """Set the extreme-value law from clean texts, ``e_max`` and the logistic curve from all; returns the log loss a text."""
     clean = [v for v, y in zip(scored, labels, strict=True) if not y and len(v)]
     s, k = np.unique(np.concatenate([*clean, [model.base, 1.0]]), return_counts=True)
     q = k / k.sum()
@@ -200,11 +211,24 @@ def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray
         mid = (low + high) / 2
         low, high = (mid, high) if q @ np.exp(mid * s) < 1 else (low, mid)
     model.rate = low
-    tops = [model.rate * max((t for _, _, t in segments(v)), default=0.0) - math.log(len(v)) for v in clean]
+    found = [(max(1, len(v)), np.array([t for _, _, t in segments(v)])) for v in scored]
+    tops = [model.rate * float(t.max(initial=0.0)) - math.log(n) for (n, t), y, v in zip(found, labels, scored, strict=True) if not y and len(v)]
     model.log_k = float(np.mean(tops)) - 0.5772156649 if tops else 0.0
-
-    x = np.array([math.log1p(evidence(model, v)[0]) for v in scored])
-    design, y = np.stack([np.ones_like(x), x], 1), labels.astype(float)
+    y, best = labels.astype(float), math.inf
+    for e_max in e_maxs:
+        log_e = [model.log_k + math.log(n) - model.rate * t for n, t in found]
+        x = np.log1p([-float(e[e < math.log(e_max)].sum()) if len(e) else 0.0 for e in log_e])
+        theta = _logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(theta[0] + max(0.0, theta[1]) * x, -30, 30)))
+        loss = float(-np.mean(np.where(y > 0, np.log(p), np.log1p(-p))))
+        if loss < best:
+            best, model.e_max, model.bias, model.slope = loss, e_max, float(theta[0]), max(0.0, float(theta[1]))
+    return best
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bias and slope by Newton's method with a small ridge."""
+    design = np.stack([np.ones_like(x), x], 1)
     theta, ridge = np.zeros(2), np.array([1e-3, 1e-2])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
@@ -214,39 +238,43 @@ def calibrate(model: ToxicityModel, scored: list[np.ndarray], labels: np.ndarray
         theta -= step
         if np.abs(step).max() < 1e-8:
             break
-    model.bias, model.slope = float(theta[0]), max(0.0, float(theta[1]))
+    return theta
 
 
 def fit(
     rows: list[tuple[str, int]],
     strength: float = 0.03,
-    z: float = 2.5,
+    zs: tuple[float, ...] = ZS,
     own: int = 10,
     cap: float = 6.0,
     base: float = -0.5,
     max_terms: int = 100_000,
 ) -> ToxicityModel:
-    """Fit on (text, label) rows.  The calibration uses scores of each half under the terms of the other half."""
+    """Fit on (text, label) rows.  ``z``, ``e_max`` and the calibration come from scores of each half under the terms of the other half."""
     rows = sorted((x, y) for x, y in rows if x)
-    options = (strength, z, own, cap, base, max_terms)
+    options = (own, cap, base, max_terms)
     n_toxic = sum(y for _, y in rows)
-    model = fit_terms(rows, *options)
-    if not model.words:
+    whole = Terms(rows, strength)
+    halves = [[r for r in rows if zlib.crc32(r[0].encode("utf-8", "replace")) & 1 == h] for h in (0, 1)]
+    labels = np.array([y for half in halves for _, y in half])
+    terms = [Terms(half, strength) for half in halves]
+    best, chosen = math.inf, None
+    for z in zs:
+        model = whole.model(z, *options)
+        if not model.words:
+            continue
+        scored = [v for mine, other in ((0, 1), (1, 0)) for v in _scored(terms[other].model(z, *options), [x for x, _ in halves[mine]])]
+        loss = calibrate(model, scored, labels)
+        if loss < best:
+            best, chosen = loss, model
+    if chosen is None:
         p = (n_toxic + 0.5) / (len(rows) + 1)
-        model.bias = math.log(p / (1 - p)) if rows else -20.0
-        return model
-    halves = [[r for r in rows if zlib.crc32(r[0][:200].encode("utf-8", "replace")) & 1 == h] for h in (0, 1)]
-    scored, labels = [], []
-    for mine, other in (halves, halves[::-1]):
-        part = fit_terms(other, *options)
-        scored += _scored(part, [x for x, _ in mine])
-        labels += [y for _, y in mine]
-    calibrate(model, scored, np.array(labels))
-    return model
+        chosen = ToxicityModel(base=base, bias=math.log(p / (1 - p)) if rows else -20.0)
+    return chosen
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled rows of each class, the lowest by a hash of the id; ``docs`` is already the training fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: int = 40_000_000) -> list[tuple[str, int]]:
+    """At most ``max_rows`` labelled rows of each class, the lowest by a hash of the id, within ``max_chars``; ``docs`` is already the training fold.
 
     The ids are chosen from the labels alone and are at most ``2 * max_rows``, so they are broadcast and no
     text is shuffled but those chosen.
@@ -259,7 +287,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -
     out = []
     for t, ids in enumerate(chosen):
         part = rows.join(F.broadcast(ids.select("doc_id", "lot")), "doc_id").orderBy("lot", "doc_id", "text").limit(max_rows)
-        out += [(r["text"], t) for r in part.select("text").toLocalIterator()]
+        left = max_chars
+        for r in part.select("text").toLocalIterator():
+            left -= len(r["text"])
+            if left < 0 and left + len(r["text"]) < max_chars:
+                break
+            out.append((r["text"], t))
     return out
 
 

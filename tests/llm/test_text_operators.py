@@ -71,12 +71,12 @@ def toxic_rows(n=400, seed=1):
 
 def test_toxicity_on_held_out_rows():
     model = toxicity.fit(toxic_rows())
+    assert model.e_max in toxicity.E_MAXS
     held = toxic_rows(200, 9)
     get = toxicity._Scores(model).__getitem__
     wrong = 0
     for text, label in held:
-        words = toxicity.WORDS(text.lower())
-        total, found = toxicity.evidence(model, np.array([get(w) for w in words]))
+        total, found = toxicity.evidence(model, toxicity.word_scores(get, text, model.base))
         wrong += (toxicity._squash(model.bias + model.slope * np.log1p(total)) >= 0.3) != bool(label)
     assert wrong <= 4
 
@@ -104,6 +104,31 @@ def test_toxicity_of_repeated_passages():
     assert wrong <= 4
 
 
+def test_toxicity_query_finds_every_passage(spark, tmp_path):
+    """The registered query on tables of its own: five passages of one text are five, and its folds and columns are the contract's."""
+    from longspan.llm import registry
+
+    rnd = random.Random(5)
+    rows = toxic_rows(600)
+    clean = [t for t, y in toxic_rows(60, 9) if not y]
+    passage = "grunzelig grunzelten grunzelsam grunzel"
+    filler = lambda: " ".join(rnd.choice(clean).split()[:60] + rnd.choice(clean).split()[:60])
+    rows += [(filler() + "".join(f" {passage} {filler()}" for _ in range(5)), 1), (filler(), 0), ("", 0), (None, 0)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, (t, y) in enumerate(rows[:600])], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in registry.queries()["op1_toxicity"](spark, str(tmp_path)).collect()}
+    assert got[600].n_passages == 5 and got[600].predicted == 1 and got[601].predicted == got[602].predicted == got[603].predicted == 0
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    held = [i for i in range(600) if got[i].held_out]
+    assert len(held) > 100 and sum(got[i].predicted != rows[i][1] for i in held) <= 4
+    # labels of the held-out fold change nothing
+    flipped = [(i, 1, 1 - y if got[i].held_out else y) for i, (t, y) in enumerate(rows[:600])]
+    spark.createDataFrame(flipped, "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    again = {r.doc_id: r.score for r in registry.queries()["op1_toxicity"](spark, str(tmp_path)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+
+
 def test_toxicity_edges(spark):
     model = toxicity.fit(toxic_rows())
     got = toxicity.score(documents(spark), model).collect()
@@ -114,6 +139,7 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1), (3, 1, None), (1, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert sorted(t for _, t in toxicity.labelled_sample(documents(spark), labels)) == [0, 0, 1]
     assert toxicity.labelled_sample(empty(spark), labels.where("false")) == []
+    assert sorted(t for _, t in toxicity.labelled_sample(documents(spark), labels, max_chars=1)) == [0, 1]
 
 
 # --- language ---
@@ -184,6 +210,29 @@ def test_licence_variants(spark):
     assert licenses.scan(empty(spark), licenses.known_digests(spark)).count() == 0
 
 
+def test_licences_in_paragraphs_and_in_full(spark):
+    """Notices wrapped over lines and the texts of short licences, printed in lines of their own width."""
+    import textwrap
+
+    wrap = lambda x, n: "\n\n".join(textwrap.fill(p, n, break_on_hyphens=False) for p in x.split("\n\n"))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.TEXTS):
+        rows.append((k, wrap(text, 40 + k % 40), ""))
+        want[k, name] = True
+    header = dict(licenses.KNOWN)["AGPL-3.0"]
+    rows += [(1000, f"some program\n\n{wrap(header, 50)}\n\nmore text", ""), (1001, f"some program\n{wrap(header, 50)}\n", ""), (1002, header, "")]
+    got = {(r.doc_id, r.license_id): r for r in licenses.scan(documents(spark, rows), licenses.known_digests(spark)).collect()}
+    assert {k: True for k, r in got.items() if r.whole_text and k[0] < 1000} == want
+    assert got[1000, "AGPL-3.0"].n_paragraphs == 1 and (1001, "AGPL-3.0") not in got and got[1002, "AGPL-3.0"].n_lines == 1
+
+
+def test_known_digests_are_broadcast(spark):
+    plan = licenses.scan(documents(spark), licenses.known_digests(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError):
+        licenses.known_digests(spark, whole=(("x", "y"),) * (licenses.MOST + 1))
+
+
 def test_whole_licence_digests(spark):
     """The digests kept in the code are those of the texts as commonly printed, here among the tokenizers' own."""
     found = os.path.join(os.path.dirname(tokenizer_path()), "LICENSES.txt")
@@ -213,6 +262,9 @@ def test_full_texts_are_known(spark):
         pytest.skip("no printed licences at hand")
     found = licenses.scan(documents(spark, rows), licenses.known_digests(spark)).where("whole_text").collect()
     assert {(r.doc_id, r.license_id) for r in found} == want
+    texts = [(name, open(f"{folder}/{file}", encoding="utf-8").read()) for file, name in names.items() if os.path.exists(f"{folder}/{file}") and file != "BSD"]
+    made = set(licenses.make_digests(spark, texts))
+    assert len(made & set(licenses.WHOLE_TEXTS)) >= 2 * len(texts)
 
 
 # --- decontamination ---
