@@ -103,6 +103,31 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85, 100)
 
 
+def test_rows_of_a_hot_bucket_grow_with_its_members(spark):
+    """One bucket of 10,000, 20,000 and 40,000 members, of sizes from 5 to 400,000 or all alike: two unit rows a member at most, units of bounded size."""
+    from pyspark.sql import functions as F
+
+    for sizes in ("pmod(id * 7919, 400000) + 5", "100 + pmod(id, 10)"):
+        for n in (10_000, 20_000, 40_000):
+            leaders = spark.range(n).selectExpr("id AS doc_id", f"{sizes} AS n_shingles", "array(-5L, -id - 10) AS bands")
+            ordinary, hot = neardup.members_of_buckets(leaders, 85, 100)
+            units = neardup.dealt(hot, ["bucket", "klass"])
+            assert ordinary.count() == 0 and n <= units.count() <= 2 * n
+            assert units.groupBy("unit").count().agg(F.max("count")).first()[0] < 1.3 * neardup.BLOCK
+            # every two members of the same or of neighbouring classes meet in some class
+            assert hot.where("side = 0").select("doc_id").distinct().count() == n
+
+
+def test_every_pair_of_a_group_meets_when_blocks_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = spark.range(40).selectExpr("1L AS bucket", "3 AS klass", "0 AS side", "id AS doc_id")
+    units = collections.defaultdict(list)
+    for r in neardup.paired(rows, ["bucket", "klass"]).collect():
+        units[r.unit].append((r.doc_id, r.side, r.crossed))
+    met = {tuple(sorted((a[0], b[0]))) for u in units.values() for a in u for b in u if a[0] != b[0] and (a[1] != b[1] or not a[2])}
+    assert len(met) == 40 * 39 // 2
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(3)
     errors = []
