@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..options import METHODS, STORED_BELOW, SUPPORTED, ZSTD_LEVELS, Options
+from . import lzo
 
 GATE_BYTES = 100 << 20
 _LZ4 = pa.Codec("lz4_raw")
@@ -22,12 +24,27 @@ class UnsupportedCodec(ValueError):
     """There is no library for this method here; nothing else is used in its place."""
 
 
-def _lzma_filter(level: int, size: int) -> dict:
-    dictionary = 1 << (2 * level + 16 if level < 4 else level + 19 if level < 7 else level + 18)
+#: Codecs of a user's own: method -> (pack(data, level), unpack(data, size)); set on the driver; columns carry them to the tasks.
+_OWN: dict[str, tuple[Callable[[bytes, int], bytes], Callable[[bytes, int], bytes]]] = {}
+
+
+def register(method: str, pack: Callable[[bytes, int], bytes], unpack: Callable[[bytes, int], bytes]) -> None:
+    """Give a method without a library, or a name of one's own for columns, a pair of functions."""
+    if method in SUPPORTED:
+        raise ValueError(f"{method} has a codec already")
+    _OWN[method] = (pack, unpack)
+
+
+def registered(method: str) -> bool:
+    return method in _OWN
+
+
+def _lzma_filter(level: int, size: int, dictionary: int = 0) -> dict:
+    dictionary = dictionary or 1 << (2 * level + 16 if level < 4 else level + 19 if level < 7 else level + 18)
     return {"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": max(4096, min(dictionary, size)), "nice_len": 32 if level < 7 else 64, "mode": lzma.MODE_NORMAL if level >= 5 else lzma.MODE_FAST, "mf": lzma.MF_BT4 if level >= 5 else lzma.MF_HC4}
 
 
-def encode(method: str, data: bytes, level: int = 7, zstd_level: int = 0) -> bytes:
+def encode(method: str, data: bytes, level: int = 7, zstd_level: int = 0, dictionary: int = 0) -> bytes:
     if method == "none":
         return data
     if method == "bzip2":
@@ -35,11 +52,15 @@ def encode(method: str, data: bytes, level: int = 7, zstd_level: int = 0) -> byt
     if method == "gzip":
         return zlib.compress(data, level)
     if method == "lzma":
-        return lzma.compress(data, lzma.FORMAT_RAW, filters=[_lzma_filter(level, len(data))])
+        return lzma.compress(data, lzma.FORMAT_RAW, filters=[_lzma_filter(level, len(data), dictionary)])
     if method == "zstd":
         import zstandard
 
         return zstandard.ZstdCompressor(level=zstd_level or ZSTD_LEVELS[level]).compress(data)
+    if method == "lzo":
+        return lzo.compress(data)
+    if method in _OWN:
+        return _OWN[method][0](data, level)
     raise UnsupportedCodec(method)
 
 
@@ -58,6 +79,10 @@ def decode(method: str, data: bytes, size: int, dictionary: int = 0) -> bytes:
         import zstandard
 
         out = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    elif method == "lzo":
+        out = lzo.decompress(data, size)
+    elif method in _OWN:
+        out = _OWN[method][1](data, size)
     else:
         raise UnsupportedCodec(method)
     if len(out) != size:
@@ -65,6 +90,11 @@ def decode(method: str, data: bytes, size: int, dictionary: int = 0) -> bytes:
     return out
 
 
+def dictionary_of(code: int) -> int:
+    """Bytes of an LZMA dictionary by its stored code, 0 to 40."""
+    return 0xFFFFFFFF if code == 40 else (2 | code & 1) << code // 2 + 11
+
+
 def compressibility(data: bytes, threshold: int = 100) -> int:
     """Percentage (1 at least) to which a quick codec brings the block, 0 if not below the threshold.
 
@@ -89,7 +119,8 @@ def encode_block(data: bytes, options: Options) -> tuple[int, bytes]:
         return stored
     if options.gated and not compressibility(data, options.threshold):
         return stored
-    packed = encode(options.method, data, options.level, options.zstd_level)
+    dictionary = dictionary_of(options.dictionary) if options.dictionary >= 0 else 0
+    packed = encode(options.method, data, options.level, options.zstd_level, dictionary)
     return (METHODS[options.method][0], packed) if len(packed) < len(data) else stored
 
 
@@ -105,23 +136,27 @@ def gate(data: Column, threshold: int = 100) -> Column:
 
 def coded(data: Column, method: str, level: int = 7) -> Column:
     """A binary column through a codec."""
-    if method not in SUPPORTED:
+    own = _OWN.get(method)
+    if method not in SUPPORTED and own is None:
         raise UnsupportedCodec(method)
+    pack = own[0] if own else lambda x, n: encode(method, x, n)
 
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else encode(method, bytes(x), level))
+        return values.map(lambda x: None if x is None else pack(bytes(x), level))
 
     return run(data)
 
 
 def decoded(data: Column, size: Column, method: str) -> Column:
-    if method not in SUPPORTED:
+    own = _OWN.get(method)
+    if method not in SUPPORTED and own is None:
         raise UnsupportedCodec(method)
+    unpack = own[1] if own else lambda x, n: decode(method, x, n)
 
     @F.pandas_udf("binary")
     def run(values: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decode(method, bytes(x), int(n)) for x, n in zip(values, sizes, strict=True)], dtype=object)
+        return pd.Series([None if x is None else unpack(bytes(x), int(n)) for x, n in zip(values, sizes, strict=True)], dtype=object)
 
     return run(data, size)
 

@@ -3,22 +3,30 @@
 ``write_archive`` gives bytes of the current version; ``read_header``, ``block_rows`` and ``unpack`` read them.
 Readers work on one archive's bytes in a task; ``archives``, ``blocks`` and ``validate`` apply them to a table of
 files, so that the index becomes rows to be queried.
+
+Encrypted archives hold a salt in the place of the size, chunks without their size, and each block header, each
+payload and the digest encrypted under a key of its own: header and payload have salts before them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import lzma
+import os
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..options import CIPHERS, DIGESTS, METHOD_OF_TYPE, METHODS, Options, delta_code, delta_of
-from .codecs import decode, encode_block
+from . import aes
+from .codecs import decode, dictionary_of, encode_block
+from .crypto import SALT_BYTES, key_and_iv, stretch
 from .digests import digest_bytes
 from .filters import apply_filter
 from .parse import Parser, from_streams, rebuild, to_streams
 
-MAGIC = bytes((76, 82, 90, 73))
+MAGIC = bytes((76, 82, 90, 73))  # the format's tag
 HEADER_BYTES = {6: 24, 7: 24, 8: 18, 9: 20, 10: 20, 11: 21, 12: 21, 13: 21, 14: 21}
 FILTER_NAMES = {1: "x86", 2: "arm", 3: "armt", 4: "ppc", 5: "sparc", 6: "ia64", 7: "arm64", 8: "riscv"}
 EARLY_FILTERS = {1: "x86", 2: "arm", 3: "armt", 4: "ppc", 5: "sparc", 6: "ia64"}
@@ -29,6 +37,34 @@ class DamagedArchive(ValueError):
     pass
 
 
+class Lock:
+    """Keys of one archive from its password and salt, whose first byte is the exponent of the stretching cost."""
+
+    def __init__(self, password: bytes, salt: bytes, cipher_code: int):
+        self.bytes = next(size for code, size in CIPHERS.values() if code == cipher_code)
+        self.salt, self.salted = salt, salt + password
+        self.stretched = stretch(self.salted, salt, salt[0])
+
+    def seal(self, data: bytes, salt: bytes) -> bytes:
+        return aes.encrypt(data, *key_and_iv(self.stretched, salt, self.salted, self.bytes))
+
+    def open(self, data: bytes, salt: bytes) -> bytes:
+        if len(data) < 16:
+            raise DamagedArchive("an encrypted part is cut short")
+        return aes.decrypt(data, *key_and_iv(self.stretched, salt, self.salted, self.bytes))
+
+
+def lock_of(h: dict, password: bytes | None) -> Lock | None:
+    """The lock of an encrypted archive; without a password it can't be made."""
+    if not h["enc_code"]:
+        return None
+    if password is None:
+        raise ValueError("the archive is encrypted")
+    if not 1 <= h["salt"][0] <= 24:
+        raise DamagedArchive(f"a stretching cost of 2 ** {h['salt'][0]}")
+    return Lock(password, h["salt"], h["enc_code"])
+
+
 def width_of(size: int) -> int:
     return max(1, -(-size.bit_length() // 8))
 
@@ -36,6 +72,8 @@ def width_of(size: int) -> int:
 def _properties(o: Options) -> tuple[int, int]:
     """(codec byte, property byte) of a header."""
     codec = METHODS[o.method][1]
+    if codec == 1 and o.dictionary >= 0:
+        return 1, o.dictionary
     if codec == 1:
         return 1, next(i for i in range(41) if (1 << (2 * o.level + 16 if o.level < 4 else o.level + 19 if o.level < 7 else o.level + 18)) <= dictionary_of(i))
     if codec == 4:
@@ -44,16 +82,12 @@ def _properties(o: Options) -> tuple[int, int]:
     return codec, 0
 
 
-def dictionary_of(code: int) -> int:
-    return 0xFFFFFFFF if code == 40 else (2 | code & 1) << code // 2 + 11
-
-
-def write_header(size: int, o: Options) -> bytes:
+def write_header(size: int, o: Options, salt: bytes = b"") -> bytes:
     codec, prop = _properties(o)
     kind = 0 if o.filter == "none" else 128 + delta_code(o.delta) if o.filter == "delta" else {v: k for k, v in FILTER_NAMES.items()}[o.filter]
     note = o.comment.encode()
     level = (o.match_level or o.level) << 4 | o.level
-    return MAGIC + bytes([0, 14]) + size.to_bytes(8, "little") + bytes([DIGESTS[o.digest][0], CIPHERS[o.cipher][0], kind, codec, prop, level, len(note)]) + note
+    return MAGIC + bytes([0, 14]) + (salt or size.to_bytes(8, "little")) + bytes([DIGESTS[o.digest][0], CIPHERS[o.cipher][0], kind, codec, prop, level, len(note)]) + note
 
 
 def read_header(data: bytes) -> dict:
@@ -109,19 +143,29 @@ def read_header(data: bytes) -> dict:
     return h
 
 
-def write_archive(data: bytes, o: Options) -> bytes:
-    """An unencrypted archive of ``data``."""
-    out = bytearray(write_header(len(data), o))
+def write_archive(data: bytes, o: Options, password: bytes | None = None, random: Callable[[int], bytes] = os.urandom) -> bytes:
+    """An archive of ``data``; encrypted if the options name a cipher, with salts from ``random``."""
+    lock = None
+    if o.cipher != "NONE":
+        if not password:
+            raise ValueError("an encrypted archive needs a password")
+        if DIGESTS[o.digest][1] < 16:
+            raise ValueError("an encrypted archive needs a digest of 16 bytes or more")
+        lock = Lock(password, bytes([o.cost]) + random(SALT_BYTES - 1), CIPHERS[o.cipher][0])
+    out = bytearray(write_header(len(data), o, lock.salt if lock else b""))
     starts = list(range(0, len(data), o.chunk_bytes)) or [0]
     parser = Parser(o.match_level or o.level)
+    lead = SALT_BYTES if lock else 0
     for at in starts:
         chunk = data[at : at + o.chunk_bytes]
         width = width_of(len(chunk))
-        out += bytes([width, int(at == starts[-1])]) + len(chunk).to_bytes(width, "little")
-        base = len(out)
+        out += bytes([width, int(at == starts[-1])]) + (b"" if lock else len(chunk).to_bytes(width, "little"))
+        base, field = len(out), 8 if lock else width
+        heads: list[int] = []
 
-        def header(kind: int, packed: int, plain: int, width: int = width) -> bytes:
-            return bytes([kind]) + packed.to_bytes(width, "little") + plain.to_bytes(width, "little") + bytes(width)
+        def header(kind: int, packed: int, plain: int, field: int = field, heads: list[int] = heads) -> bytes:
+            heads.append(len(out) + lead)
+            return bytes(lead) + bytes([kind]) + packed.to_bytes(field, "little") + plain.to_bytes(field, "little") + bytes(field)
 
         streams = to_streams(parser.tokens(chunk), chunk, width)
         # a stream can be longer than its chunk's width tells only for tiny chunks; its blocks are cut to fit
@@ -135,20 +179,36 @@ def write_archive(data: bytes, o: Options) -> bytes:
             plain = apply_filter(o.filter, part, o.delta) if i else part
             kind, packed = encode_block(plain, o)
             here = len(out)
-            if here - base >= 1 << 8 * width:
+            if here - base >= 1 << 8 * field:
                 raise ValueError("a chunk's index outgrows its offsets")
-            link = last[i] + 1 + 2 * width
-            out[link : link + width] = (here - base).to_bytes(width, "little")
+            link = last[i] + lead + 1 + 2 * field
+            out[link : link + field] = (here - base).to_bytes(field, "little")
             last[i] = here
-            out += header(kind, len(packed), len(part)) + packed
-    return bytes(out) + digest_bytes(o.digest, data)
+            out += header(kind, len(packed), len(part))
+            if lock:
+                salt = random(SALT_BYTES)
+                packed = salt + lock.seal(packed + random(max(0, 16 - len(packed))), salt)
+            out += packed
+        for head in heads if lock else ():
+            salt = random(SALT_BYTES)
+            out[head - lead : head + 25] = salt + lock.seal(bytes(out[head : head + 25]), salt)
+    digest = digest_bytes(o.digest, data)
+    return bytes(out) + (lock.seal(digest, lock.salt) if lock else digest)
 
 
-def block_rows(data: bytes, h: dict | None = None) -> Iterator[tuple]:
+def _digest_size(h: dict) -> int:
+    return _BY_CODE[h["hash_code"]][1] if h["hash_code"] or h["minor"] >= 11 else 0
+
+
+def block_rows(data: bytes, h: dict | None = None, lock: Lock | None = None) -> Iterator[tuple]:
     """(chunk, width, eof, chunk size, stream, block, type, packed, plain, header at, next, payload at) of every
-    block, in stored order of each stream.  Offsets that don't grow, or leave the archive, raise."""
+    block, in stored order of each stream.  Offsets that don't grow, or leave the archive, raise; an encrypted chunk's
+    size is None."""
     h = h or read_header(data)
-    tail = len(data) - (_BY_CODE[h["hash_code"]][1] if h["hash_code"] or h["minor"] >= 11 else 0)
+    if h["enc_code"] and lock is None:
+        raise DamagedArchive("the archive is encrypted")
+    tail = len(data) - _digest_size(h)
+    lead = SALT_BYTES if lock else 0
     at, chunk, eof = h["length"], 0, False
     while not eof:
         if at + 2 > tail:
@@ -156,22 +216,27 @@ def block_rows(data: bytes, h: dict | None = None) -> Iterator[tuple]:
         width, eof = data[at], bool(data[at + 1])
         if not 1 <= width <= 8:
             raise DamagedArchive(f"chunk offsets of {width} bytes")
-        number = lambda a, w=width: int.from_bytes(data[a : a + w], "little")
-        size = number(at + 2)
-        base = end = at + 2 + width
+        field = 8 if lock else width
+        size = None if lock else int.from_bytes(data[at + 2 : at + 2 + width], "little")
+        base = end = at + 2 + (0 if lock else width)
+        step = lead + 1 + 3 * field
         for stream in range(2):
-            head, block = base + stream * (1 + 3 * width), 0
+            head, block = base + stream * step, 0
             while True:
-                if head + 1 + 3 * width > tail:
+                if head + step > tail:
                     raise DamagedArchive("a block header is cut short")
-                kind, packed, plain, following = data[head], *(number(head + 1 + i * width) for i in range(3))
+                fields = data[head + lead : head + step]
+                if lock:
+                    fields = lock.open(fields, data[head : head + lead])
+                kind, packed, plain, following = fields[0], *(int.from_bytes(fields[1 + i * field : 1 + (i + 1) * field], "little") for i in range(3))
                 if kind not in METHOD_OF_TYPE:
-                    raise DamagedArchive(f"unknown block type {kind}")
-                payload = head + 1 + 3 * width
-                if payload + packed > tail:
+                    raise DamagedArchive("the password is wrong or a block header is damaged" if lock else f"unknown block type {kind}")
+                payload = head + step
+                stored = packed if not lock or not packed and not plain else lead + max(16, packed)
+                if payload + stored > tail:
                     raise DamagedArchive("a block leaves the archive")
                 yield chunk, width, eof, size, stream, block, kind, packed, plain, head - base, following, payload
-                end = max(end, payload + packed)
+                end = max(end, payload + stored)
                 if not following:
                     break
                 if base + following <= head:
@@ -180,34 +245,61 @@ def block_rows(data: bytes, h: dict | None = None) -> Iterator[tuple]:
         at, chunk = end, chunk + 1
 
 
-def unpack(data: bytes) -> bytes:
-    """What an unencrypted archive holds; chunk checksums and the digest are both verified, in full."""
-    h = read_header(data)
-    if h["enc_code"]:
-        raise ValueError("the archive is encrypted")
-    streams: dict[tuple[int, int], list[bytes]] = {}
-    widths = {}
-    name = FILTER_NAMES.get(h["filter"], "delta" if h["filter"] == 128 else "none")
-    if h["minor"] < 12 and h["filter"] != 128:
-        name = EARLY_FILTERS.get(h["filter"], "none")
-    for chunk, width, _, size, stream, _, kind, packed, plain, _, _, at in block_rows(data, h):
-        body = decode(METHOD_OF_TYPE[kind], data[at : at + packed], plain) if plain else b""
-        streams.setdefault((chunk, stream), []).append(apply_filter(name, body, h["delta"], back=True) if stream else body)
-        widths[chunk] = width, size
-    out = []
-    for chunk, (width, size) in sorted(widths.items()):
-        tokens, crc = from_streams(b"".join(streams[chunk, 0]), width)
-        whole = rebuild(tokens, b"".join(streams[chunk, 1]))
-        if len(whole) != size or digest_bytes("CRC", whole) != crc.to_bytes(4, "little"):
-            raise DamagedArchive(f"chunk {chunk} is damaged")
-        out.append(whole)
-    found = b"".join(out)
-    digest, size = _BY_CODE[h["hash_code"]]
-    if digest_bytes(digest, found) != data[-size:]:
-        raise DamagedArchive("the digest differs")
+def unpack(data: bytes, password: bytes | None = None) -> bytes:
+    """What an archive holds; chunk checksums and the digest are both verified, in full."""
+    found, error = salvage(data, password)
+    if error is not None:
+        raise error
     return found
 
 
+def salvage(data: bytes, password: bytes | None = None) -> tuple[bytes, ValueError | None]:
+    """(what can be read, what is wrong): whole chunks up to the first that is damaged."""
+    out: list[bytes] = []
+    try:
+        h = read_header(data)
+        lock = lock_of(h, password)
+        name = FILTER_NAMES.get(h["filter"], "delta" if h["filter"] == 128 else "none")
+        if h["minor"] < 12 and h["filter"] != 128:
+            name = EARLY_FILTERS.get(h["filter"], "none")
+
+        def body(row: tuple) -> bytes:
+            kind, packed, plain, at = row[6], row[7], row[8], row[11]
+            if not plain:
+                return b""
+            raw = data[at : at + packed]
+            if lock:
+                raw = lock.open(data[at + SALT_BYTES : at + SALT_BYTES + max(16, packed)], data[at : at + SALT_BYTES])[:packed]
+            return decode(METHOD_OF_TYPE[kind], raw, plain)
+
+        def finish(rows: list[tuple]) -> None:
+            chunk, width, size = rows[0][0], rows[0][1], rows[0][3]
+            parts = [b"".join(apply_filter(name, body(r), h["delta"], back=True) if r[4] else body(r) for r in rows if r[4] == i) for i in (0, 1)]
+            tokens, crc = from_streams(parts[0], width)
+            whole = rebuild(tokens, parts[1])
+            if size is not None and len(whole) != size or digest_bytes("CRC", whole) != crc.to_bytes(4, "little"):
+                raise DamagedArchive(f"chunk {chunk} is damaged")
+            out.append(whole)
+
+        held: list[tuple] = []
+        for row in block_rows(data, h, lock):
+            if held and row[0] != held[0][0]:
+                finish(held)
+                held = []
+            held.append(row)
+        finish(held)
+        found = b"".join(out)
+        digest, size = _BY_CODE[h["hash_code"]]
+        stored = lock.open(data[-size:], lock.salt) if lock else data[-size:]
+        if digest_bytes(digest, found) != stored:
+            raise DamagedArchive("the digest differs")
+        return found, None
+    except ValueError as e:
+        return b"".join(out), e
+    except (ArithmeticError, EOFError, IndexError, MemoryError, OSError, RuntimeError, zlib.error, lzma.LZMAError) as e:  # of the codecs
+        return b"".join(out), DamagedArchive(f"a block can't be decoded: {e}")
+
+
 ARCHIVES = (
     "archive_id string, major int, minor int, orig_size bigint, archive_size bigint, hash_code int, enc_code int, filter int, "
     "delta int, codec int, codec_prop int, match_level int, level int, comment string, error string"
@@ -247,12 +339,13 @@ def archives(files: DataFrame) -> DataFrame:
     return _mapped(files, ARCHIVES, rows)
 
 
-def blocks(files: DataFrame) -> DataFrame:
+def blocks(files: DataFrame, password: bytes | None = None) -> DataFrame:
     """The block index of each archive; an archive whose index is damaged ends with a row that tells so."""
 
     def rows(archive, data):
         try:
-            for r in block_rows(data):
+            h = read_header(data)
+            for r in block_rows(data, h, lock_of(h, password) if password is not None else None):
                 yield (archive, *r[:-1], None)
         except DamagedArchive as e:
             yield (archive, *([None] * 11), str(e))
@@ -260,18 +353,26 @@ def blocks(files: DataFrame) -> DataFrame:
     return _mapped(files, BLOCKS, rows)
 
 
-def packed(files: DataFrame, options: Options) -> DataFrame:
-    """``archive_id, data``: an archive of each file's bytes."""
-    return _mapped(files, "archive_id string, data binary", lambda archive, data: [(archive, write_archive(data, options))])
+def packed(files: DataFrame, options: Options, password: bytes | None = None, random: Callable[[bytes], Callable[[int], bytes]] | None = None) -> DataFrame:
+    """``archive_id, data``: an archive of each file's bytes.
 
+    ``random`` makes the source of an archive's salts from its bytes, where they must be the same each time.
+    """
 
-def unpacked(files: DataFrame) -> DataFrame:
-    """``archive_id, data, error``: what each archive holds, or why it can't be read."""
+    def rows(archive, data):
+        return [(archive, write_archive(data, options, password, random(data) if random else os.urandom))]
+
+    return _mapped(files, "archive_id string, data binary", rows)
+
+
+def unpacked(files: DataFrame, password: bytes | None = None, keep_broken: bool = False) -> DataFrame:
+    """``archive_id, data, error``: what each archive holds, or why it can't be read.
+
+    With ``keep_broken`` what could be read of a damaged archive is given beside the error.
+    """
 
     def rows(archive, data):
-        try:
-            yield archive, unpack(data), None
-        except ValueError as e:
-            yield archive, None, str(e)
+        found, error = salvage(data, password)
+        yield archive, found if error is None or keep_broken else None, None if error is None else str(error)
 
     return _mapped(files, "archive_id string, data binary, error string", rows)

@@ -20,7 +20,7 @@ METHODS = {
     "bzip3": (9, 3),
     "zstd": (10, 4),
 }
-SUPPORTED = ("none", "bzip2", "lzma", "gzip", "zstd")
+SUPPORTED = ("none", "bzip2", "lzo", "lzma", "gzip", "zstd")
 METHOD_OF_TYPE = {t: m for m, (t, _) in METHODS.items()}
 
 #: level -> (MB of anchors, sampled low bits, equal anchors kept)
@@ -70,10 +70,13 @@ class Options:
     delta: int = 0
     digest: str = "MD5"
     cipher: str = "NONE"
+    cost: int = 14  # exponent of the password's stretching cost
     chunk_bytes: int = 64 << 20
     block_bytes: int = 10 << 20
     comment: str = ""
     zstd_level: int = 0
+    dictionary: int = -1  # code of an LZMA dictionary, -1: by level
+    check: bool = False  # read back what was written
     suffix: str = ".lsp"
     output: str = ""
     output_dir: str = ""
@@ -94,8 +97,10 @@ class Options:
         must(self.filter != "delta" or self.delta in DELTAS, "delta must be 1 to 16, or 32 to 256 in steps of 16")
         must(self.digest in DIGESTS, f"unknown digest {self.digest!r}")
         must(self.cipher in CIPHERS, f"unknown cipher {self.cipher!r}")
+        must(1 <= self.cost <= 24, "stretching cost must be 2 ** 1 to 2 ** 24")
         must(self.chunk_bytes > 0 and self.block_bytes > 0, "sizes must be positive")
         must(len(self.comment.encode()) <= 64, "a comment has 64 bytes at most")
+        must(-1 <= self.dictionary <= 40, "a dictionary code is 0 to 40")
         must(0 <= self.zstd_level <= 22, "zstd level must be 1 to 22")
         must(not (self.output and self.output_dir), "give an output name or an output folder, not both")
 

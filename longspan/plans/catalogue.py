@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.tags import TAG_TABLE, byte_rows, tag_rows
-from ..operators import chunks, codecs, container, crypto, digests, filters, matches, parse, report
+from ..operators import chunks, codecs, container, crypto, digests, filters, matches, parse, report, suffixes
 from ..options import DIGESTS, FILTERS, SUPPORTED, Options
 from ..sources.files import as_files, spread, table
 from ..streaming.chunks import run_chunks
@@ -161,10 +161,8 @@ u AS (SELECT lang, digest, max(n) AS n, sum(n) AS total FROM b GROUP BY lang, di
 SELECT lang, CAST(sum(total) AS BIGINT) AS total_bytes, CAST(sum(n) AS BIGINT) AS unique_bytes, round(sum(total) * 1.0 / sum(n), 9) AS dedup_ratio FROM u GROUP BY lang
 """)
 def dedup_ratio_by_lang(spark, sf):
-    docs = _docs(spark, sf)
-    langs = docs.select(F.struct(F.col("doc_id").cast("string").alias("id"), "lang").alias("key"), "text")
-    rows = langs.select(F.to_json("key").alias("doc_id"), "text")
-    cut = chunks.cut(as_files(rows), BLOCK).select(F.get_json_object("archive_id", "$.lang").alias("lang"), F.md5("data").alias("digest"), "chunk_size")
+    files = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("archive_id"), "lang", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    cut = chunks.cut(files, BLOCK, also=("lang",)).select("lang", F.md5("data").alias("digest"), "chunk_size")
     unique = cut.groupBy("lang", "digest").agg(F.max("chunk_size").alias("n"), F.sum("chunk_size").alias("total"))
     out = unique.groupBy("lang").agg(F.sum("total").alias("total_bytes"), F.sum("n").alias("unique_bytes"))
     return out.withColumn("dedup_ratio", F.round(F.col("total_bytes") / F.col("unique_bytes"), 9))
@@ -215,6 +213,14 @@ def sampled_anchors(spark, sf, source, key):
     return rolling_tag(spark, sf, source, key).where(F.col("tag").bitwiseAND(15) == 15)
 
 
+@_byte_query(_TAGS + "SELECT item_id, count(DISTINCT tag) AS total, count(DISTINCT tag & 255) AS first_places, round(count(DISTINCT tag & 255) * 1.0 / count(DISTINCT tag), 9) AS share FROM t WHERE n = 31 GROUP BY item_id")
+def anchor_occupancy(spark, sf, source, key):
+    """Different tags, and how many of them a table of 256 places would hold at their first place."""
+    tags = rolling_tag(spark, sf, source, key)
+    out = tags.groupBy(key).agg(F.count_distinct("tag").alias("total"), F.count_distinct(F.col("tag").bitwiseAND(255)).alias("first_places"))
+    return out.withColumn("share", F.round(F.col("first_places") / F.col("total"), 9))
+
+
 @_byte_query(_TAGS + "SELECT item_id, bits, count(*) AS places, count(*) FILTER ((tag & ((1 << bits) - 1)) = (1 << bits) - 1) AS anchors FROM t, (VALUES (1), (2), (4), (6)) AS m(bits) WHERE n = 31 GROUP BY 1, 2")
 def anchor_density(spark, sf, source, key):
     tags = rolling_tag(spark, sf, source, key).select(key, S.low_ones(F.col("tag")).alias("ones"))
@@ -380,23 +386,48 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 @_query(" UNION ALL ".join(_ONE_ROW_EACH.format(name=f"'{m}'", label="method") for m in SUPPORTED))
 def codec_roundtrip(spark, sf):
-    files = _files(spark, sf)
-    size = F.octet_length("data")
-    return _union([files.select("archive_id", F.lit(m).alias("method"), size.alias("u_len"), F.md5(codecs.decoded(codecs.coded(F.col("data"), m), size, m)).alias("digest")) for m in SUPPORTED])
+    """Every method over every text, in one pass over the texts."""
+    rows = _each(_files(spark, sf), SUPPORTED, "method", lambda m, x: codecs.decode(m, codecs.encode(m, x), len(x)))
+    return rows.select("archive_id", "method", "u_len", F.md5("back").alias("digest"))
+
+
+def _each(files: DataFrame, names: tuple[str, ...], label: str, there_and_back) -> DataFrame:
+    """``archive_id, label, u_len, back``: a row for each file and name, with what comes back."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            data = [x.as_py() for x in batch.column(1)]
+            sizes = pa.array([len(x) for x in data], pa.int32())
+            for name in names:
+                back = pa.array([there_and_back(name, x) for x in data], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data)), sizes, back], ["archive_id", label, "u_len", "back"])
+
+    return files.select("archive_id", "data").mapInArrow(run, f"archive_id string, {label} string, u_len int, back binary")
 
 
 @_query()
 def codec_sizes(spark, sf):
     """Packed size by method and level, small blocks stored, each block kept packed only if that is smaller."""
-    files = _files(spark, sf)
-    parts = []
-    for m in SUPPORTED[1:]:
-        for level in range(1, 10):
-            packed = F.octet_length(codecs.coded(F.col("data"), m, level))
-            rows = files.select(F.octet_length("data").alias("u_len"), packed.alias("packed"))
-            kept = F.when(F.col("u_len") < 64, F.col("u_len")).otherwise(F.least("u_len", "packed"))
-            parts.append(rows.agg(F.lit(m).alias("method"), F.lit(level).alias("level"), F.sum("u_len").alias("u_len"), F.sum(kept).alias("c_len")))
-    return _union(parts).withColumn("ratio", S.ratio(F.col("u_len"), F.col("c_len")))
+    import pyarrow as pa
+
+    kinds = [(m, level) for m in SUPPORTED[1:] for level in range(1, 10)]
+
+    def run(batches):
+        for batch in batches:
+            data = [x.as_py() for x in batch.column(1)]
+            sizes: dict = {}
+            for m, level in kinds:  # lzo knows no levels
+                key = (m, 1 if m == "lzo" else level)
+                if key not in sizes:
+                    sizes[key] = sum(len(x) if len(x) < 64 else min(len(x), len(codecs.encode(m, x, level))) for x in data)
+            kept = [sizes[m, 1 if m == "lzo" else level] for m, level in kinds]
+            whole = pa.array([sum(map(len, data))] * len(kinds), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in kinds]), pa.array([n for _, n in kinds], pa.int32()), whole, pa.array(kept, pa.int64())], ["method", "level", "u_len", "c_len"])
+
+    parts = _files(spark, sf).select("archive_id", "data").mapInArrow(run, "method string, level int, u_len bigint, c_len bigint")
+    total = parts.groupBy("method", "level").agg(F.sum("u_len").alias("u_len"), F.sum("c_len").alias("c_len"))
+    return total.withColumn("ratio", S.ratio(F.col("u_len"), F.col("c_len")))
 
 
 @_query()
@@ -411,9 +442,26 @@ _FILTER_NAMES = [f for f in FILTERS if f != "none"]
 
 @_query(" UNION ALL ".join(_ONE_ROW_EACH.format(name=f"'{m}'", label="filter") for m in _FILTER_NAMES))
 def filter_roundtrip(spark, sf):
-    files = _files(spark, sf)
-    again = lambda f: filters.filtered(filters.filtered(F.col("data"), f, 4), f, 4, back=True)
-    return _union([files.select("archive_id", F.lit(f).alias("filter"), F.octet_length("data").alias("u_len"), F.md5(again(f)).alias("digest")) for f in _FILTER_NAMES])
+    """Every filter over every text and back, in one pass over the texts."""
+    rows = _each(_files(spark, sf), tuple(_FILTER_NAMES), "filter", lambda f, x: filters.apply_filter(f, filters.apply_filter(f, x, 4), 4, back=True))
+    return rows.select("archive_id", "filter", "u_len", F.md5("back").alias("digest"))
+
+
+# --- suffix order (O2) ---
+
+
+@_query("""SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY from_hex(substr(h, CAST(2 * pos + 1 AS BIGINT)))) - 1 AS rank, pos
+FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark), unnest(range(0, length(h) // 2)) AS u(pos)""")
+def suffix_order(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
+    return suffixes.suffix_rows(rows, "item_id")
+
+
+@_query(f"""SELECT archive_id, chunk_no, md5(data) AS digest, CAST(octet_length(data) AS BIGINT) AS n FROM ({_CUT.format(size=CHUNK)})""")
+def bwt_roundtrip(spark, sf):
+    coded = suffixes.bwt_rows(chunks.cut(_files(spark, sf), CHUNK))
+    back = suffixes.unbwt_rows(coded)
+    return back.select("archive_id", "chunk_no", F.md5("data").alias("digest"), F.octet_length("data").cast("bigint").alias("n"))
 
 
 # --- containers (S4 S5 S8-S10 A3-A6 J5 J6 P8 W7) ---
@@ -453,6 +501,64 @@ def archive_roundtrip(spark, sf):
     return rows.select("archive_id", F.md5("data").alias("digest"), F.octet_length("data").alias("u_len"))
 
 
+def _salts(data: bytes):
+    """Salts that are the same each time, for queries whose rows are compared; runs take theirs from the system."""
+    import hashlib
+
+    state = hashlib.shake_256(data)
+    count = [0]
+
+    def random(n: int) -> bytes:
+        count[0] += 1
+        own = state.copy()
+        own.update(count[0].to_bytes(8, "little"))
+        return own.digest(n)
+
+    return random
+
+
+_SEALED = Options(method="zstd", level=3, chunk_bytes=16384, block_bytes=4096, digest="SHA256", cipher="AES256", cost=6)
+
+
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS archive_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS INTEGER) AS u_len, 2 AS enc_code, true AS size_hidden,
+'the archive is encrypted' AS locked FROM documents""")
+def encrypted_roundtrip(spark, sf):
+    """Encrypted archives, opened with the password, and what is said without it."""
+    sealed = container.packed(_files(spark, sf), _SEALED, b"a password", _salts)
+    head = container.archives(sealed).select("archive_id", "enc_code", F.col("orig_size").isNull().alias("size_hidden"))
+    opened = container.unpacked(sealed, b"a password").select("archive_id", F.md5("data").alias("digest"), F.octet_length("data").alias("u_len"))
+    locked = container.unpacked(sealed).select("archive_id", F.col("error").alias("locked"))
+    return opened.join(head, "archive_id").join(locked, "archive_id")
+
+
+@_query("""SELECT CAST(doc_id AS VARCHAR) AS archive_id, CASE abs(doc_id) % 3 WHEN 0 THEN 'digest' WHEN 1 THEN 'cut' ELSE 'none' END AS damage, abs(doc_id) % 3 = 2 AS ok,
+CASE WHEN abs(doc_id) % 3 <> 1 THEN md5(text) END AS kept FROM documents""")
+def damaged_archives(spark, sf):
+    """Archives of which a third have a wrong digest and a third end early: which are told, and what is kept of them."""
+    made = container.packed(_files(spark, sf), _ARCHIVE)
+    turn, size = F.abs(F.col("archive_id").cast("bigint")) % 3, F.octet_length("data")
+    flipped = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("data", size, F.lit(1))), 16, 10).cast("bigint").bitwiseXOR(255)), 2, "0"))
+    front = F.substring("data", F.lit(1), size - 1)
+    broken = made.select("archive_id", F.when(turn == 0, F.concat(front, flipped)).when(turn == 1, front).otherwise(F.col("data")).alias("data"))
+    found = container.unpacked(broken, keep_broken=True)
+    damage = F.when(turn == 0, "digest").when(turn == 1, "cut").otherwise("none")
+    return found.select("archive_id", damage.alias("damage"), F.col("error").isNull().alias("ok"), F.when(turn != 1, F.md5("data")).alias("kept"))
+
+
+@_query(f"""SELECT archive_id, chunk_no, eof, chunk_size, CAST(ceil(length(bin(chunk_size)) / 8.0) AS INTEGER) AS chunk_bytes FROM ({_CUT.format(size=16384)})""")
+def chunk_index(spark, sf):
+    """The chunks that the archives' block index tells of."""
+    index = container.blocks(container.packed(_files(spark, sf), _ARCHIVE)).where("error IS NULL")
+    return index.select("archive_id", "chunk_no", "eof", "chunk_size", "chunk_bytes").distinct()
+
+
+@_query("SELECT lang, CAST(sum(octet_length(encode(text))) + count(*) - count(DISTINCT struct_pack(s := source, p := doc_id // 4096)) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def parse_totals(spark, sf):
+    """Literal and matched bytes of ``parse_stats`` together: all bytes of the texts and of the line ends between them."""
+    stats = parse_stats(spark, sf)
+    return stats.select("lang", (F.col("literal_bytes") + F.col("match_bytes")).alias("bytes"))
+
+
 # --- rankings (A9 W6 J7 F15 S14) ---
 
 #: Published timings of eleven ways to pack one 1,451,397,120-byte file: name, bytes, seconds.
@@ -517,6 +623,18 @@ def whole_digest(spark, sf):
     return digests.digest_of_chunks(rows, "MD5")
 
 
+@_query("""WITH leaf AS (SELECT CAST(doc_id AS BIGINT) AS place, md5(text) AS digest FROM documents),
+a AS (SELECT place // 1024 AS place, md5(string_agg(digest, '' ORDER BY place)) AS digest FROM leaf GROUP BY place // 1024),
+b AS (SELECT place // 1024 AS place, md5(string_agg(digest, '' ORDER BY place)) AS digest FROM a GROUP BY place // 1024),
+c AS (SELECT place // 1024 AS place, md5(string_agg(digest, '' ORDER BY place)) AS digest FROM b GROUP BY place // 1024)
+SELECT 'all' AS archive_id, md5(string_agg(digest, '' ORDER BY place)) AS digest FROM c""")
+def tree_digest(spark, sf):
+    """One digest over all texts by a tree, so that no task reads them all."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.lit("all").alias("archive_id"), F.col("doc_id").alias("chunk_no"), F.col("text").cast("binary").alias("data"))
+    return digests.digest_tree(rows)
+
+
 @_query("""SELECT doc_id, CAST(bits AS INTEGER) AS bits, CAST(octet_length(encode(text)) AS INTEGER) AS c_len, octet_length(encode(text)) >= 16 AS hidden, md5(text) AS digest
 FROM documents, (VALUES (128), (256)) AS k(bits)""")
 def aes_roundtrip(spark, sf):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Iterator
+from datetime import datetime
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILES = "archive_id string, size bigint, modified timestamp, data binary"
+
+
 def binary_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:
-    """``archive_id`` (the path), ``size``, ``modified``, ``data``: one row a regular file, folders walked through."""
+    """``archive_id`` (the path), ``size``, ``modified``, ``data``: one row a regular file, folders walked through.
+
+    The file source leaves out files without bytes; these come from the same listing and are added.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(F.col("path").alias("archive_id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("data"))
+    full = reader.load(path).select(F.col("path").alias("archive_id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("data"))
+    empty = [(name, 0, when, bytearray()) for name, when in _empty_files(spark, path, recursive) if not pattern or fnmatch(os.path.basename(name), pattern)]
+    return full.where("size > 0").unionAll(spark.createDataFrame(empty, FILES))
+
+
+def _empty_files(spark: SparkSession, path: str, recursive: bool) -> Iterator[tuple[str, datetime]]:
+    """Names and times of files of no bytes below a path or pattern; hidden ones are passed over, as by Spark."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(root) or ():
+        files = fs.listFiles(found.getPath(), recursive)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().getName()
+            if not f.getLen() and name[0] not in "._":
+                yield f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000)
 
 
 def as_files(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,6 +88,8 @@ def write_files(rows: DataFrame, folder: str, options: Options, unpack: bool = F
             out = []
             for key, data in zip(batch.column(0), batch.column(1), strict=True):
                 key, data = key.as_py(), data.as_py() or b""
+                if os.path.realpath(_local(key)) == os.path.realpath(os.path.join(folder, os.path.basename(target_name(key, options, unpack)))):
+                    raise ValueError(f"{key} would be its own result")
                 path = os.path.join(folder, os.path.basename(target_name(key, options, unpack)))
                 if os.path.exists(path) and not options.replace:
                     with open(path, "rb") as f:
@@ -94,12 +121,36 @@ def write_csv(runs: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").option("header", True).csv(path)
 
 
-def remove_sources(paths: list[str], results: list[str], options: Options) -> int:
-    """Delete inputs whose results exist, if asked to; folders are never deleted."""
-    gone = 0
-    for source, result in zip(paths, results, strict=True):
-        if options.delete and os.path.isfile(result) and os.path.isfile(source):
-            shutil.copystat(source, result)
-            os.unlink(source)
-            gone += 1
-    return gone
+def _local(path: str) -> str:
+    return path.removeprefix("file:") if path.startswith("file:") else path
+
+
+def copy_attributes(written: DataFrame) -> None:
+    """Give results (``archive_id``, ``path``) the mode, owner where allowed, and times of their sources, from the tasks."""
+
+    def run(rows):
+        for r in rows:
+            source, result = _local(r["archive_id"]), _local(r["path"])
+            if os.path.isfile(source) and os.path.isfile(result):
+                shutil.copystat(source, result)
+                try:
+                    was = os.stat(source)
+                    os.chown(result, was.st_uid, was.st_gid)
+                except PermissionError:  # only a privileged user gives files away
+                    pass
+
+    written.select("archive_id", "path").foreachPartition(run)
+
+
+def remove_sources(written: DataFrame, options: Options) -> None:
+    """Delete inputs (``archive_id``) whose results (``path``) exist, if asked to; folders and results are never deleted."""
+    if not options.delete:
+        return
+
+    def run(rows):
+        for r in rows:
+            source, result = _local(r["archive_id"]), _local(r["path"])
+            if os.path.isfile(result) and os.path.isfile(source) and not os.path.samefile(source, result):
+                os.unlink(source)
+
+    written.select("archive_id", "path").foreachPartition(run)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunks import cut
 from ..sources.files import as_files
+from ..sources.shared import shared_dir
 
 
 def chunk_stream(rows: DataFrame, size: int) -> DataFrame:
@@ -20,8 +20,7 @@ def chunk_stream(rows: DataFrame, size: int) -> DataFrame:
 def run_chunks(spark: SparkSession, path: str, size: int, files_per_batch: int = 1) -> DataFrame:
     """Read a folder of Parquet documents as a stream, write its chunks as micro-batches, return what was written."""
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="longspan-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     head, dot, tail = path.rpartition(".")
     pattern = f"{head}[.]{tail}" if dot else path  # a pattern, so that a single file is taken as well as a folder
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
