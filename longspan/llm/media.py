@@ -95,17 +95,26 @@ def _unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
     return rows
 
 
+MOST_BYTES = 1 << 31
+
+
 def png_decode(data: bytes) -> np.ndarray:
     """Samples as (height, width, channels); every chunk's checksum is tested."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
+    if len(data) < 20:
+        raise ValueError("PNG is cut short")
     at, head, idat, ended = 8, None, [], False
     while at < len(data) and not ended:
+        if at + 12 > len(data):
+            raise ValueError("PNG is cut short")
         (n,) = struct.unpack_from(">I", data, at)
         kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
         if len(body) != n or at + 12 + n > len(data) or struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(kind + body):
             raise ValueError(f"PNG chunk {kind!r} is damaged")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("PNG head has the wrong size")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             idat.append(body)
@@ -116,12 +125,21 @@ def png_decode(data: bytes) -> np.ndarray:
         at += 12 + n
     if head is None or not ended:
         raise ValueError("PNG is cut short")
-    width, height, depth, colour, _, _, interlace = head
+    width, height, depth, colour, packing, filtering, interlace = head
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or channels is None or interlace:
         raise ValueError("only 8-bit PNG without palette or interlacing is read")
-    raw = zlib.decompress(b"".join(idat))
-    if len(raw) != height * (1 + width * channels):
+    if packing or filtering:
+        raise ValueError("unknown PNG compression or filter method")
+    size = height * (1 + width * channels)
+    if not width or not height or size > MOST_BYTES:
+        raise ValueError(f"a PNG of {width} x {height} is not read")
+    unpacker = zlib.decompressobj()
+    try:
+        raw = unpacker.decompress(b"".join(idat), size + 1)  # never more than the head tells
+    except zlib.error as e:
+        raise ValueError(f"PNG samples can't be unpacked: {e}") from None
+    if len(raw) != size or not unpacker.eof:
         raise ValueError("PNG has the wrong number of samples")
     rows = _unfilter(np.frombuffer(raw, np.uint8).reshape(height, 1 + width * channels), channels)
     return rows.reshape(height, width, channels)
@@ -158,7 +176,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 SCHEMA = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-    "media_bytes bigint, media_sha256 string, feature string"
+    "media_bytes bigint, media_sha256 string, feature string, error string"
 )
 
 
@@ -183,28 +201,27 @@ def encode_media(docs: DataFrame, level: int = 4) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode the binary column and compute digests and the hash of what was read back."""
+    """Decode the binary column and compute digests and the hash of what was read back.
+
+    A picture that is null or damaged has nulls for what can't be told, and ``error`` says why.
+    """
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(6)]
+            rows = []
             for data in batch.column(2).to_pylist():
-                picture = png_decode(data)
-                payload = picture.tobytes()
-                for c, v in zip(
-                    cols,
-                    (
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-16:]),
-                        len(data),
-                        hashlib.sha256(data).hexdigest(),
-                        cosine_hash(picture).hex(),
-                    ),
-                    strict=True,
-                ):
-                    c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                try:
+                    if data is None:
+                        raise ValueError("no picture")
+                    picture = png_decode(data)
+                    payload = picture.tobytes()
+                    own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+                    rows.append((*own, len(data), hashlib.sha256(data).hexdigest(), cosine_hash(picture).hex(), None))
+                except ValueError as e:
+                    stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                    rows.append((None, None, None, *stored, None, str(e)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                 [x.split()[0] for x in SCHEMA.split(", ")],
