@@ -5,8 +5,8 @@ cut into n-grams; the longest length of which any n-gram is known gives its scor
 A text's log-likelihood is the sum over its words; it is tempered to the weight of ``tempered`` words at most
 before it becomes a probability, so that long texts don't all end at 1.
 
-Fitting uses at most ``max_rows`` texts a language (the lowest by a hash of the id), each distinct line once.
-Tables are bounded by ``max_words`` and ``max_grams``.
+Fitting uses at most ``max_rows`` texts a language (the lowest by a hash of id and text), of these as many as come within
+``max_chars`` characters (one at least), each distinct line once.  Tables are bounded by ``max_words`` and ``max_grams``.
 
 Defined results: a null text, an empty text and one without a letter give ``und`` with score 0; so does every
 text when no language was learned; repeated rows are scored alike; ties go to the language first in order; an
@@ -89,10 +89,11 @@ def fit(rows: list[tuple[str, str]], max_words: int = 200_000, max_grams: int =
     return model
 
 
-def training_sample(docs: DataFrame, max_rows: int = 1_500, max_langs: int = 1_000) -> list[tuple[str, str]]:
+def training_sample(docs: DataFrame, max_rows: int = 1_500, max_langs: int = 1_000, max_chars: int = 20_000_000) -> list[tuple[str, str]]:
     """At most ``max_rows`` (text, lang) rows of each of the ``max_langs`` most frequent languages.
 
-    They are the lowest by a hash of the id.  The languages' sizes give the driver a threshold of that hash for
+    They are the lowest by a hash of id and text, so that rows of one id don't stand or fall together, and those of a language
+    that go beyond ``max_chars`` are left out, in that order.  The languages' sizes give the driver a threshold of that hash for
     each, so that only some more rows than needed are moved.
     """
     known = docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
@@ -100,11 +101,17 @@ def training_sample(docs: DataFrame, max_rows: int = 1_500, max_langs: int = 1_0
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * max_rows / r["count"] + 0.001))])
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     drawn = known.withColumn("lot", lot).where(F.col("lot") <= share[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("lot", "doc_id", "text")
     kept = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows)
-    return [(r["text"], r["lang"]) for r in kept.orderBy("lang", "place").select("text", "lang").toLocalIterator()]
+    out: list[tuple[str, str]] = []
+    used: Counter = Counter()
+    for r in kept.orderBy("lang", "place").select("text", "lang").toLocalIterator():
+        if not used[r["lang"]] or used[r["lang"]] + len(r["text"]) <= max_chars:
+            out.append((r["text"], r["lang"]))
+            used[r["lang"]] += max(1, len(r["text"]))
+    return out
 
 
 class _Rows(dict):
