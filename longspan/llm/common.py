@@ -55,19 +55,24 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+BATCH_BYTES = 32_000_000
+
+
 def over_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 1_000
 ) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once a task and returns the function of a batch.
 
-    Batches are handed on ``rows`` rows at a time, so that few texts are Python objects at once.
+    Batches are handed on ``rows`` rows at a time, fewer if they are long (``BATCH_BYTES`` on average), so that few texts
+    are Python objects at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield f(batch.slice(at, rows))
+            step = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield f(batch.slice(at, step))
 
     return df.mapInArrow(tidy(run), schema)
 

@@ -260,6 +260,22 @@ def test_png_round_trip_and_damage():
             media.png_decode(data[:-5])
 
 
+def test_damaged_pictures_are_rows(spark):
+    good = media.png_encode(b"x" * 192)
+    def made(width, height, body=None, method=0):
+        import struct
+
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        head = struct.pack(">IIBBBBB", width, height, 8, 0, method, 0, 0)
+        return media.SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(bytes(1000) if body is None else body)) + chunk(b"IEND", b"")
+
+    bombs = [made(2, 3), made(0, 5), made(1 << 31 - 1, 1 << 30), made(9, 100, method=1), made(9, 100, b""), made(9, 100)[:30], b"", b"\x89PNG\r\n\x1a\n", None]
+    df = spark.createDataFrame([(i, 5, x and bytearray(x) if x else x if x is None else bytearray()) for i, x in enumerate([good, made(9, 100), *bombs])], "doc_id bigint, n_bytes bigint, media binary")
+    got = {r.doc_id: r for r in media.media_features(df).collect()}
+    assert got[0].error is None and got[1].error is None and got[1].payload_bytes == 900
+    assert all(got[i].error and got[i].payload_sha256 is None and got[i].feature is None for i in range(2, 2 + len(bombs)))
+
+
 def test_media_query(spark):
     df = media.media_features(media.encode_media(documents(spark)))
     got = df.collect()

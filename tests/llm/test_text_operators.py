@@ -169,6 +169,71 @@ def test_unseen_words_back_off_to_grams():
     assert language.predict_text(rows, "aaaa bbbb aab bba aaa bbb")[0] == "x"  # more words than the cache holds
 
 
+def test_back_off_by_definition():
+    """Word scores against a plain reading of the rule: known words, else the longest n-grams of which any is known."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6)))
+    rows = [("\n".join(" ".join(word() for _ in range(6)) for _ in range(4)), lang) for lang in ("x", "y") for _ in range(8)]
+    model = language.fit(rows, max_words=40, max_grams=60)
+    counts = {lang: {} for lang in ("x", "y")}
+    for lang, own in counts.items():
+        seen = {line for text, y in rows if y == lang for line in text.split("\n")}
+        for line in seen:
+            for w in line.split():
+                own[w] = own.get(w, 0) + 1
+
+    def table(terms_of, limit):
+        by = {lang: {} for lang in counts}
+        for lang, own in counts.items():
+            for w, k in own.items():
+                for t in terms_of(w):
+                    by[lang][t] = by[lang].get(t, 0) + k
+        total = {t: sum(c.get(t, 0) for c in by.values()) for c in by.values() for t in c}
+        kept = sorted(total, key=lambda t: (-total[t], t))[:limit]
+        size = {lang: sum(c.values()) for lang, c in by.items()}
+        return {t: np.log([(by[lang].get(t, 0) + 0.1) / (size[lang] + 0.1 * (len(total) + 1)) for lang in ("x", "y")]) for t in kept}
+
+    words = table(lambda w: [w], 40)
+    grams = {n: table(lambda w, n=n: [f"^{w}$"[j : j + n] for j in range(len(w) + 3 - n)], 60) for n in (5, 4, 3, 2, 1)}
+
+    def expected(w):
+        if w in words:
+            return words[w]
+        for n in (5, 4, 3, 2, 1):
+            known = [grams[n][g] for j in range(len(w) + 3 - n) if (g := f"^{w}$"[j : j + n]) in grams[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(2)
+
+    kinds = set()
+    for w in [*list(counts["x"])[:30], *(word() for _ in range(100)), "zzz", "q"]:
+        assert np.allclose(model.row(w), expected(w), atol=1e-4)
+        kinds.add(w in words)
+    assert kinds == {True, False}
+
+
+def test_language_query_on_held_out_texts(spark):
+    """Accuracy on the fold that is not learned from, and that its labels change nothing."""
+    import pandas as pd
+
+    from longspan.llm import registry
+    from tests.helpers import SF
+
+    sf = SF.replace("0.001", "0.01")
+    got = registry.queries()["op4_language_id"](spark, sf).toPandas().set_index("doc_id")
+    lang = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "lang"]).set_index("doc_id").lang
+    held = got[got.held_out & lang.reindex(got.index).notna() & (got.lang_pred != "und")]
+    assert len(held) > 100 and (held.lang_pred == lang[held.index]).mean() > 0.97
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.index]).all() and got.score.between(0, 1).all()
+
+
+def test_languages_whose_rows_share_an_id_are_learned(spark):
+    rows = [(7, f"mot numero {i} et le reste", "fr") for i in range(60)] + [(i, f"word number {i} and the rest", "en") for i in range(60)]
+    sample = language.training_sample(documents(spark, rows), max_rows=10)
+    assert {lang for _, lang in sample} == {"fr", "en"} and len(sample) <= 20
+    assert len(language.training_sample(documents(spark, rows), max_chars=1)) == 2
+
+
 # --- lines ---
 
 
