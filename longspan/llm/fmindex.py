@@ -1,6 +1,8 @@
 """A compressed full-text index over word ids: Burrows-Wheeler transform in a wavelet matrix with rank bitmaps.
 
-Suffixes are sorted to a bounded depth, by prefix doubling; backward search is exact for patterns up to it.
+Suffixes are sorted to a bounded depth, by prefix doubling; backward search is exact for patterns up to it.  Of the sorted
+suffixes only what answers need is kept: the wavelet matrix, where each block of rows that agree begins, and the least level
+in it; the suffix array itself goes when the index is made.
 Matching statistics of many sequences are computed together, one word to the left at a time: an interval of
 ``depth`` words is extended to ``depth`` + 1 and widened again to the rows that agree in ``depth`` words.
 """
@@ -50,9 +52,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of ``text`` (ids from 1; 0 separates sequences), for patterns up to ``depth`` + 1 ids without 0."""
+    """Index of ``text`` (ids from 1; 0 separates sequences), for patterns up to ``depth`` + 1 ids without 0.
 
-    def __init__(self, text: np.ndarray, depth: int):
+    ``level`` is a number of each place; ``least`` tells the least of a block's places.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, level: np.ndarray | None = None):
         n = len(text)
         self.depth = depth
         rank, reach = text.astype(np.int64), 1
@@ -66,7 +71,7 @@ class FMIndex:
             rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0) - 1
             reach *= 2
             ranks[reach] = rank
-        self.suffixes = order
+        self.rows = n
         self.size = int(text.max(initial=0)) + 1
         self.wavelet = WaveletMatrix(text[order - 1], self.size)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))])
@@ -79,7 +84,7 @@ class FMIndex:
         fresh = np.ones(n, bool)
         fresh[1:] = (early[1:] != early[:-1]) | (late[1:] != late[:-1])
         self.starts = np.append(np.flatnonzero(fresh), n)
-        self.block = np.cumsum(fresh) - 1
+        self.least = np.minimum.reduceat((np.arange(n) if level is None else level)[order], self.starts[:-1]) if n else np.zeros(0, np.int64)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: rows that begin with the symbol and go on as the interval's."""
@@ -89,7 +94,7 @@ class FMIndex:
     def matching_blocks(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, blocks): for every window of ``depth`` words inside the sequences ``text[begin:end]`` (each at
         least that long), the block of rows that agree with it, or -1 if the index holds no such words."""
-        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.suffixes))
+        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), self.rows)
         at, matched = end.copy(), np.zeros(len(begin), np.int64)
         live = np.arange(len(begin))
         places, blocks = [], []
@@ -101,10 +106,10 @@ class FMIndex:
             hit = known & (a < b)
             # a mismatch starts anew to the left of it: no window reaches over it
             low[live] = np.where(hit, a, 0)
-            high[live] = np.where(hit, b, len(self.suffixes))
+            high[live] = np.where(hit, b, self.rows)
             matched[live] = np.where(hit, matched[live] + 1, 0)
             full = live[matched[live] >= self.depth]
-            found = self.block[low[full]]
+            found = np.searchsorted(self.starts, low[full], "right") - 1
             low[full], high[full] = self.starts[found], self.starts[found + 1]
             matched[full] = self.depth
             places.append(at[full])

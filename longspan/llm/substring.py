@@ -199,7 +199,6 @@ def _index_shard(window: int, index_words: int):
         inside = np.ones(len(text), bool)
         inside[end] = False
         text[inside] = ids + 1
-        index = FMIndex(text, window)
         # the places in order of (doc, start), so that a block's earliest is a minimum
         owner = np.repeat(np.arange(len(sizes)), sizes + 1)
         place = start[owner] + np.arange(len(text)) - begin[owner]
@@ -208,9 +207,9 @@ def _index_shard(window: int, index_words: int):
         step = np.diff(doc[owner][order], prepend=-1) != 0
         step |= np.diff(place[order], prepend=-1) != 0
         level[order] = np.cumsum(step)
-        least = np.minimum.reduceat(level[index.suffixes], index.starts[:-1])
+        index = FMIndex(text, window, level)
         at, block = index.matching_blocks(text, begin, end)
-        at = np.sort(at[least[block] < level[at]])
+        at = np.sort(at[index.least[block] < level[at]])
         if not len(at):
             return None
         fresh = np.ones(len(at), bool)
