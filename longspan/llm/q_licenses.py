@@ -9,6 +9,8 @@ from .licenses import COPYRIGHT, KNOWN, SEVERAL_LINES, SPELLINGS, TEXTS, WHOLE_T
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and licence found in it; null and empty texts match nothing, repeated ids are summed.
+    An empty table gives an empty one; other columns are ignored."""
     return scan(read(spark, sf_dir, "documents"), known_digests(spark))
 
 

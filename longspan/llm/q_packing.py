@@ -15,6 +15,8 @@ def tokenizer_path() -> str:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is packed: a null or empty text is one end token, repeated rows once each.  An empty table gives an
+    empty one; other columns are ignored."""
     return pack(pieces(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 

@@ -9,6 +9,8 @@ from .substring import remove_repeats
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row comes back: null and empty texts with no words, rows of one id as one document, rows without an id
+    last.  An empty table gives an empty one; other columns are ignored."""
     out = remove_repeats(read(spark, sf_dir, "documents"), window=20, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 

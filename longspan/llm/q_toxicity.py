@@ -10,6 +10,9 @@ from .toxicity import fit, labelled_sample, score
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is scored: null and empty texts by the score of no evidence, repeated rows alike, rows without an id
+    in no held-out fold but that of the empty string.  An empty table gives an empty one; other columns are
+    ignored."""
     docs = read(spark, sf_dir, "documents")
     train = docs.where(fold("doc_id", 4) != 2)
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
