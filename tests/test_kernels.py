@@ -129,7 +129,7 @@ def test_codecs(method):
 
 
 def test_unsupported_codecs_say_so():
-    for method in ("lzo", "zpaq", "bzip3"):
+    for method in ("zpaq", "bzip3"):
         with pytest.raises(codecs.UnsupportedCodec):
             codecs.encode(method, b"x" * 100)
     assert codecs.method_string("zpaq", 7, 50) == "47,128,0"
