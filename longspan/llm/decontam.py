@@ -154,8 +154,8 @@ def candidates(index: ItemIndex, at: np.ndarray, low: np.ndarray, n: np.ndarray,
     need = index.need[item]
     mixed = ((doc * len(index.items) + item).astype(np.uint64) << np.uint64(30)) + band.astype(np.uint64)
     with np.errstate(over="ignore"):
-        bucket = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-    keep = np.bincount(bucket, minlength=1 << 22)[bucket] >= need
+        bucket = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    keep = np.bincount(bucket, minlength=1 << 20)[bucket] >= need
     place = np.concatenate([own, own])[keep]
     pair, of = np.unique((doc * len(index.items) + item)[keep], return_inverse=True)
     wide, long = int(band.max(initial=0)) + 1, int(place.max(initial=0)) + 1
@@ -263,7 +263,7 @@ def _search(index: ItemIndex, clean: list[str], first: int) -> Iterator[tuple]:
 
 def search(index: ItemIndex, texts: list[str | None]) -> Iterator[tuple]:
     """(place in ``texts``, item id, start, length, edits, shared q-grams)."""
-    for a, b in slices(texts, 4000, 4_000_000):
+    for a, b in slices(texts, 4000, 1_500_000):
         clean = [canonical(x) for x in texts[a:b]]
         for ident, x in index.short:
             yield from ((a + i, ident, at, len(x), 0, 0) for i, t in enumerate(clean) if (at := t.find(x)) >= 0)
