@@ -103,6 +103,33 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85, 100)
 
 
+def family(n, seed=3):
+    """Variants of one text of 200 words, with 1 to 9 words changed: some linked with many, some with none."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            text[rnd.randrange(200)] = f"x{rnd.randrange(50)}"
+        rows.append((i, " ".join(text), "en"))
+    return rows
+
+
+@pytest.mark.parametrize("words, num, limits", ((3, 85, {}), (5, 80, {}), (3, 85, {"UNIT_SHINGLES": 9_000}), (3, 85, {"FAMILY": 20}), (3, 85, {"BLOCK": 60})))
+def test_pairs_of_a_large_family_do_not_grow_with_its_square(spark, monkeypatch, words, num, limits):
+    """Few pairs a row become rows; whole, in blocks of full sets, bucket by bucket, and in hot buckets."""
+    for k, v in limits.items():
+        monkeypatch.setattr(neardup, k, v)
+    verified, verify = [], neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda pairs, *args: verified.append(pairs.count()) or verify(pairs, *args))
+    rows = family(250)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, rows), words, num, 100).collect()}
+    expected = brute_components(rows, words, num, 100)
+    assert got == expected and 3 < len({c for _, c in expected.values()}) < 240
+    assert sum(verified) < 20 * len(rows)
+
+
 def test_rows_of_a_hot_bucket_grow_with_its_members(spark):
     """One bucket of 10,000, 20,000 and 40,000 members, of sizes from 5 to 400,000 or all alike: two unit rows a member at most, units of bounded size."""
     from pyspark.sql import functions as F
