@@ -13,17 +13,17 @@ an empty table gives an empty one; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,12 @@ class ChunkTokenizer:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of
     its chunks put together; inside a chunk it cuts words that are coded alone, the last id of each marked as a
-    word's end.  New words are given many at a time to the tokenizer's model, already cut and normalised, and their
-    ids cut at those marks.  Chunks with characters beyond Latin-1, with control characters or with a special
-    token's text go to the tokenizer whole, which leaves all Unicode rules and special tokens to it.  Each cache
-    keeps at most ``limit`` entries; what comes later is coded for its batch only.
+    word's end.  Arrow finds the different chunks of a batch, and the different words of its new chunks, and puts
+    their ids together again, so only what differs becomes Python objects.  New words are given many at a time to
+    the tokenizer's model, already cut and normalised, and their ids cut at those marks.  Chunks with characters
+    beyond Latin-1, with control characters or with a special token's text go to the tokenizer whole, which leaves
+    all Unicode rules and special tokens to it.  Each cache keeps at most ``limit`` entries; what comes later is
+    coded for its batch only.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS):
@@ -63,10 +65,10 @@ class ChunkTokenizer:
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.limit, self.batch_chars = limit, batch_chars
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\n": b""}  # stands after each new chunk
 
-    def _coded(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _coded(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             bare = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in part]
@@ -75,51 +77,43 @@ class ChunkTokenizer:
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary doesn't mark the end of each word")
             raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+            out += [raw[a:b] for a, b in pairwise([0, *cuts])]
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of new chunks; those that don't fit into the cache are only returned."""
-        cut, odd, new = {}, [], set()
-        for x in chunks:
-            if x.isascii() and x.isalpha():
-                cut[x] = [w := x.lower()]
-                new.add(w)
-            elif _PLAIN(x) and not any(s in x for s in self.special):
-                cut[x] = ws = _WORDS(x.lower())
-                new.update(ws)
-            else:
-                odd.append(x)
-        new.difference_update(self.words)
-        words = self._coded(list(new))
-        room = self.limit - len(self.words)
-        self.words.update(words if len(words) <= room else islice(words.items(), max(0, room)))
-        old = self.words
-        made = {x: b"".join([words[w] if w in words else old[w] for w in ws]) for x, ws in cut.items()}
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            made[x] = np.array(e.ids, "<u4").tobytes()
-        return made
+    def _joined(self, parts: pa.Array, cache: dict[str, bytes], code: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, memoryview]:
+        """Where the ids of each part begin, and those of all parts; ``code`` makes what the cache lacks."""
+        if not len(parts):
+            return np.zeros(1, np.int64), memoryview(b"")
+        found = parts.dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        ids = list(map(cache.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, code([names[i] for i in new]), strict=True):
+            ids[i] = x
+        cache.update((names[i], ids[i]) for i in new[: max(0, self.limit - len(cache))])
+        _, places, data = pa.array(ids, pa.large_binary()).take(found.indices).buffers()
+        return np.frombuffer(places, np.int64, len(parts) + 1), memoryview(data or b"")
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of new chunks."""
+        plain = [_PLAIN(x) is not None for x in chunks]
+        text = "\n".join(chunks)
+        if any(s in text for s in self.special):
+            plain = [p and not any(s in x for s in self.special) for p, x in zip(plain, chunks, strict=True)]
+        words = pa.array(_WORDS("".join(x + "\n" for x in compress(chunks, plain)).lower()), pa.large_string())
+        at, ids = self._joined(words, self.words, self._coded)
+        cuts = at[:-1][pc.equal(words, "\n").to_numpy(zero_copy_only=False)].tolist()
+        cut = (bytes(ids[a:b]) for a, b in pairwise([0, *cuts]))
+        odd = iter(self.tokenizer.encode_batch_fast([x for p, x in zip(plain, chunks, strict=True) if not p], add_special_tokens=False))
+        return [next(cut) if p else np.array(next(odd).ids, "<u4").tobytes() for p in plain]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, without an end id."""
         for a, b in slices(texts, 4000, self.batch_chars):
-            parts = [_blanks(x).split(" ") for x in texts[a:b]]
-            seen: set[str] = set()
-            for p in parts:
-                seen.update(p)
-            seen.difference_update(self.chunks)
-            collecting = gc.isenabled()
-            gc.disable()  # millions of small lists without cycles
-            made = self._learn(seen)
-            if collecting:
-                gc.enable()
-            if len(self.chunks) + len(made) <= self.limit:
-                self.chunks.update(made)
-            else:
-                self.chunks.update(islice(made.items(), max(0, self.limit - len(self.chunks))))
-            get = (self.chunks if len(self.chunks) < self.limit else _Either(self.chunks, made)).__getitem__
-            for p in parts:
-                yield b"".join(map(get, p))
+            parts = pc.split_pattern(pa.array([_blanks(x) for x in texts[a:b]], pa.large_string()), " ")
+            at, ids = self._joined(parts.flatten(), self.chunks, self._learn)
+            for x, y in pairwise(at[parts.offsets.to_numpy()].tolist()):
+                yield bytes(ids[x:y])
 
 
 def _blanks(text: str) -> str:
@@ -132,18 +126,7 @@ _PLAIN = re.compile(r"[!-~\xa1-\xff]*").fullmatch
 #: The characters that the vocabulary's byte alphabet has for bytes 0x80 to 0xFF, with which words beyond ASCII are written.
 _BYTES: dict[int, int] = {**{i: 0x121 + i - 0x7F for i in range(0x7F, 0xA1)}, 0xAD: 0x143}
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+").findall
-
-class _Either(dict):
-    """A second dictionary before the first: a copy of the few, the many on demand."""
-
-    def __init__(self, many: dict[str, bytes], few: dict[str, bytes]):
-        super().__init__(few)
-        self.many = many
-
-    def __missing__(self, key: str) -> bytes:
-        out = self[key] = self.many[key]
-        return out
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|\n|[^{_L}{_N}\n]+").findall
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -223,6 +224,18 @@ def test_chunk_tokenizer_equals_whole_texts():
     assert list(t(texts)) == want and list(t(texts)) == want
 
 
+def test_repeated_chunks_are_no_python_objects():
+    t = packing.ChunkTokenizer(tokenizer_path())
+    texts = [" ".join(f"thing{(i * j) % 97}," for i in range(20_000)) for j in range(1, 11)]
+    list(t(texts))
+    tracemalloc.start()
+    for _ in t(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # 200,000 strings take twice that
+
+
 def test_sum_of_squares_rule():
     rnd = random.Random(8)
     sizes = [rnd.randint(1, 20) for _ in range(400)]
