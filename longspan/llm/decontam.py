@@ -33,6 +33,7 @@ from .common import over_batches, slices
 
 Q, EDITS, BLOCK_CHARS = 8, 0.1, 5_000_000
 LIMIT = 2_000_000  # hits listed at once
+SLICE_CHARS = 500_000  # of texts searched at once (about 80 bytes a character)
 SPAN = 65_536  # diagonals aligned at once
 BITS = 23
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, length bigint, n_edits int, shared int"
@@ -263,7 +264,7 @@ def _search(index: ItemIndex, clean: list[str], first: int) -> Iterator[tuple]:
 
 def search(index: ItemIndex, texts: list[str | None]) -> Iterator[tuple]:
     """(place in ``texts``, item id, start, length, edits, shared q-grams)."""
-    for a, b in slices(texts, 4000, 1_500_000):
+    for a, b in slices(texts, 4000, SLICE_CHARS):
         clean = [canonical(x) for x in texts[a:b]]
         for ident, x in index.short:
             yield from ((a + i, ident, at, len(x), 0, 0) for i, t in enumerate(clean) if (at := t.find(x)) >= 0)

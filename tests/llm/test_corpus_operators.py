@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from longspan.llm import lm, media, neardup, packing, registry, substring
+from longspan.llm import decontam, lm, media, neardup, packing, registry, substring
+from longspan.llm.common import over_batches
 from longspan.llm.fmindex import Bits, FMIndex, WaveletMatrix
 from longspan.llm.graph import components
 from longspan.llm.q_packing import tokenizer_path
@@ -539,6 +541,26 @@ def test_model_beats_base_on_held_out_texts(spark):
 # --- pipeline ---
 
 
+def test_batches_come_from_spark_as_small_as_they_are_handed_on(spark):
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array([batch.get_total_buffer_size()] * batch.num_rows)], ["size"])
+
+    rows = spark.range(0, 5_000, 1, 1).selectExpr("repeat('x', 1000) text")
+    got = [r["size"] for r in over_batches(rows, make, "size long").collect()]
+    assert len(got) == 5_000 and max(got) < 2_500_000  # 1,000 rows; all rows are 5 MB
+
+
+def test_search_for_items_holds_few_characters_at_once():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefgh ", k=3_000)) for _ in range(1_000)]
+    index = decontam.ItemIndex([(1, texts[700][1_000:1_300])])
+    tracemalloc.start()
+    found = list(decontam.search(index, texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:2] for x in found] == [(700, 1)] and peak < 25_000_000  # 34 MB with slices of 1.5 million characters
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
