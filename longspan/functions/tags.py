@@ -1,10 +1,8 @@
-"""Rolling tags over 31 bytes: the XOR of a fixed random number per byte, in numpy and as SQL."""
+"""Rolling tags over 31 bytes: the XOR of a fixed random number per byte, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 SPAN = 31
 
@@ -28,29 +26,3 @@ def rolling_tags(data: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     sums = np.concatenate([np.zeros(1, np.int64), np.bitwise_xor.accumulate(_NUMPY[np.frombuffer(data, np.uint8)])])
     return sums[SPAN:] ^ sums[:-SPAN]
-
-
-def tag_of(byte: Column) -> Column:
-    """The number of a byte value; a constant array, so no join."""
-    return F.element_at(F.array(*[F.lit(x) for x in TAG_TABLE]), byte + 1)
-
-
-def byte_rows(df: DataFrame, key: str, data: Column, step: int = 4096) -> DataFrame:
-    """``key, pos, byte``: one row per byte.
-
-    Values are cut into pieces before they become rows, so that no expression rescans a long value, and each
-    piece's hexadecimal form is split once.
-    """
-    pieces = df.select(key, F.posexplode(F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(step))).alias("_n", "_at"), data.alias("_data"))
-    digits = pieces.where(F.octet_length("_data") > 0).select(
-        key, F.col("_at").cast("bigint").alias("_at"), F.regexp_extract_all(F.hex(F.substring("_data", F.col("_at") + 1, F.lit(step))), F.lit("(..)"), F.lit(1)).alias("_hex")
-    )
-    rows = digits.select(key, "_at", F.posexplode("_hex").alias("_i", "_x"))
-    return rows.select(key, (F.col("_at") + F.col("_i")).alias("pos"), F.conv("_x", 16, 10).cast("int").alias("byte"))
-
-
-def tag_rows(rows: DataFrame, key: str) -> DataFrame:
-    """``key, pos, tag`` of every place with 31 bytes, from ``byte_rows``."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(0, SPAN - 1)
-    tagged = rows.select(key, "pos", F.expr("1").alias("one"), tag_of(F.col("byte")).alias("number"))
-    return tagged.select(key, "pos", F.bit_xor("number").over(w).alias("tag"), F.count("one").over(w).alias("_n")).where(f"_n = {SPAN}").drop("_n")
