@@ -501,10 +501,9 @@ _SEALED = Options(method="zstd", level=3, chunk_bytes=16384, block_bytes=4096, d
 def encrypted_roundtrip(spark, sf):
     """Encrypted archives, opened with the password, and what is said without it."""
     sealed = container.packed(_files(spark, sf), _SEALED, b"a password", _salts)
-    head = container.archives(sealed).select("archive_id", "enc_code", F.col("orig_size").isNull().alias("size_hidden"))
-    opened = container.unpacked(sealed, b"a password").select("archive_id", F.md5("data").alias("digest"), F.octet_length("data").alias("u_len"))
-    locked = container.unpacked(sealed).select("archive_id", F.col("error").alias("locked"))
-    return opened.join(head, "archive_id").join(locked, "archive_id")
+    rows = container.looked_at(sealed, b"a password")
+    opened = F.md5("data").alias("digest"), F.octet_length("data").alias("u_len")
+    return rows.select("archive_id", *opened, "enc_code", F.col("orig_size").isNull().alias("size_hidden"), "locked")
 
 
 @_query("""SELECT CAST(doc_id AS VARCHAR) AS archive_id, CASE abs(doc_id) % 3 WHEN 0 THEN 'digest' WHEN 1 THEN 'cut' ELSE 'none' END AS damage, abs(doc_id) % 3 = 2 AS ok,

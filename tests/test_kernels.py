@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from longspan.functions.tags import SPAN, TAG_TABLE, rolling_tags
-from longspan.operators import codecs, container, digests, filters
+from longspan.operators import aes, codecs, container, digests, filters
 from longspan.operators.parse import Parser, from_streams, rebuild, to_streams
 from longspan.options import DELTAS, DIGESTS, FILTERS, MINIMUM_MATCH, SUPPORTED, Options, delta_code, delta_of
 from longspan.sources import config
@@ -221,3 +221,17 @@ def test_config_and_options():
     for wrong in ({"level": 0}, {"method": "x"}, {"filter": "delta", "delta": 17}, {"comment": "x" * 65}, {"output": "a", "output_dir": "b"}):
         with pytest.raises(ValueError):
             Options(**wrong)
+
+
+@pytest.mark.parametrize("size", (16, 32))
+def test_aes_by_library_and_by_tables(monkeypatch, size):
+    """OpenSSL's bytes are those of the tables; without the library the tables do it."""
+    key, iv = NOISE[:size], NOISE[50:66]
+    texts = [NOISE[100 : 100 + n] for n in (*range(16, 50), 1000, 4112)]
+    assert aes._openssl() is not None
+    fast = [aes.encrypt(x, key, iv) for x in texts]
+    assert [aes.decrypt(x, key, iv) for x in fast] == texts
+    monkeypatch.setattr(aes, "_openssl", lambda: None)
+    assert [aes.encrypt(x, key, iv) for x in texts] == fast and [aes.decrypt(x, key, iv) for x in fast] == texts
+    with pytest.raises(ValueError):
+        aes.encrypt(texts[0], key[:15], iv)

@@ -42,3 +42,8 @@ def test_pieces_give_what_the_whole_text_gives(spark, monkeypatch):
         k: (len(set(t.tolist())), len({int(x) & 255 for x in t})) for k, t in ((k, rolling_tags(x or b"")) for k, x in texts.items()) if len(t)
     }
     assert {(r.id, r.n_bytes, r.same) for r in places.delta_returns(df, "id").collect()} == {(k, len(x), True) for k, x in texts.items() if x}
+
+
+def test_encrypted_archives_are_made_and_opened_once(spark):
+    plan = catalogue.QUERIES["encrypted_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
