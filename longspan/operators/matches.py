@@ -1,12 +1,7 @@
-"""Relational view of repeated text: maximal nearest-earlier matches and coverage by 31-grams.
+"""Relational view of repeated text: maximal nearest-earlier matches and coverage by 31-grams, and matches of two tables.
 
-The hash of every 31-character gram is made in numpy (a text at a time, no string per place), then Spark does
-the rest.  Grams come with an anchor, the least hash of the 16-grams in them: equal grams have equal anchors, and
-a text has an anchor for about every eighth place only.  So the texts' distinct anchors are compared first, and
-just the grams whose anchor another text has, or which repeat inside their text, become rows.  Coverage asks only whether a
-gram stands earlier anywhere: neighbouring grams of one anchor are a row, equal rows of other texts are repeats as they
-are, and the first text of each gram of the rest is an aggregate, summed map-side; runs ask for the nearest earlier
-place, which is ``lag`` in a window.
+The hash of every 31-character gram is made in numpy, a text at a time, no string per place.  Coverage asks only whether a
+gram stands earlier anywhere, runs ask for the nearest earlier place; both are found by ``stretches``.
 This is the analytic view, not the greedy token sequence of ``parse``.
 """
 
@@ -16,33 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
+from . import stretches
+from .grams import gram_hashes, texts_of
 
 GRAM = 31
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _gram_hashes(text: str, width: int) -> np.ndarray:
-    """Two steps of doubling put a window's hash together from those of powers of two."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        part, size, out, done, left = (codes + np.uint64(11)) * _M1, 1, None, 0, width
-        while left:
-            if left & 1:
-                out = part[:n] if out is None else (out ^ (out >> np.uint64(29))) * _M2 + part[done : done + n]
-                done += size
-            left >>= 1
-            if left:
-                part = (part[:-size] ^ (part[:-size] >> np.uint64(31))) * _M1 + part[size:]
-                size *= 2
-        out = (out ^ (out >> np.uint64(32))) * _M1
-    return (out ^ (out >> np.uint64(30))).view(np.int64)
 
 
 def gram_rows(docs: DataFrame, width: int = GRAM, wanted=None) -> DataFrame:
@@ -58,7 +34,7 @@ def gram_rows(docs: DataFrame, width: int = GRAM, wanted=None) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                grams = _gram_hashes(text.as_py() or "", width)
+                grams = gram_hashes(text.as_py() or "", width)
                 at = np.arange(len(grams)) if keep is None else np.flatnonzero(keep[_slot(grams, len(keep))])
                 grams = grams[at]
                 fresh = np.zeros(len(grams), bool)
@@ -71,7 +47,7 @@ def gram_rows(docs: DataFrame, width: int = GRAM, wanted=None) -> DataFrame:
             if held:
                 yield batch_of(held)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
+    return texts_of(docs).mapInArrow(run, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
 
 
 def _slot(grams: np.ndarray, size: int) -> np.ndarray:
@@ -98,162 +74,14 @@ def bitmap_of(grams: DataFrame) -> np.ndarray | None:
     return out
 
 
-def _anchors(text: str, width: int, part: int = 16) -> np.ndarray:
-    """The anchor of each gram: the least hash of its inner grams of ``part`` characters."""
-    part = min(part, width)
-    least, reach = _gram_hashes(text, part), 1
-    span = width - part + 1
-    while reach < span and len(least):
-        step = min(reach, span - reach)
-        if len(least) <= step:
-            return least[:0]
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
-    return least
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(doc_id AS bigint) doc_id", "text")
-
-
-def _with_shared_anchors(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, text, shared``: the texts with those of their anchors that another text has too."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(_anchors(t.as_py(), width)) for t in batch.column(1)]
-            keys = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(found))], ["doc_id", "anchor"])
-
-    texts = _texts(docs)
-    anchors = materialise(texts.mapInArrow(distinct, "doc_id bigint, anchor bigint"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    shared = anchors.join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
-    return texts.join(shared, "doc_id", "left").select("doc_id", "text", "shared")
-
-
-def _places(text: str, shared: list[int] | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, anchors, whether a place is the text's first of its gram, whether its gram can have another copy)."""
-    grams, anchors = _gram_hashes(text, width), _anchors(text, width)
-    fresh = np.zeros(len(grams), bool)
-    if not len(grams):
-        return grams, anchors, fresh, fresh
-    _, first, inverse, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
-    fresh[first] = True
-    return grams, anchors, fresh, (count[inverse] > 1) | np.isin(anchors, np.array(shared or [], np.int64))
-
-
-def candidate_rows(docs: DataFrame, width: int = GRAM) -> DataFrame:
-    """The rows of ``gram_rows`` whose gram can have another copy: all of those that do are among them."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(held: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["doc_id", "pos", "gram", "fresh"])
-
-        for batch in batches:
-            held, size = [], 0
-            for key, text, shared in zip(*batch.columns, strict=True):
-                grams, _, fresh, kept = _places(text.as_py(), shared.as_py(), width)
-                at = np.flatnonzero(kept)
-                held.append((np.full(len(at), key.as_py(), np.int64), at + 1, grams[at], fresh[at]))
-                size += len(at)
-                if size > 500_000:
-                    yield batch_of(held)
-                    held, size = [], 0
-            if held:
-                yield batch_of(held)
-
-    found = _with_shared_anchors(docs, width).mapInArrow(rows, "doc_id bigint, pos bigint, gram bigint, fresh boolean")
-    return materialise(found, "candidates")
-
-
-STRETCHES = "doc_id bigint, pos bigint, n int, content bigint, grams array<bigint>"
-
-
-def stretch_rows(docs: DataFrame, width: int = GRAM) -> DataFrame:
-    """Places of ``candidate_rows`` by runs: of the same anchor, with a hash of all their characters and their grams, or, with
-    neither, of places that repeat an earlier one of the same text."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(held: list[tuple]) -> pa.RecordBatch:
-            doc, pos, n, content, stale, grams = (np.concatenate(c) for c in zip(*held, strict=True))
-            ends = np.concatenate([[0], np.cumsum(np.where(stale, 0, n))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(n.astype(np.int32)), pa.array(content, mask=stale), lists], ["doc_id", "pos", "n", "content", "grams"])
-
-        for batch in batches:
-            held, size = [], 0
-            for key, text, shared in zip(*batch.columns, strict=True):
-                grams, anchors, fresh, kept = _places(text.as_py(), shared.as_py(), width)
-                at = np.flatnonzero(kept)
-                if not len(at):
-                    continue
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + 1) | (fresh[at[1:]] != fresh[at[:-1]]) | fresh[at[1:]] & (anchors[at[1:]] != anchors[at[:-1]])
-                # the first and the last gram of a run cover all of it up to twice their width
-                head = np.flatnonzero(new)
-                n = np.diff(np.append(head, len(at)))
-                head = np.repeat(head, -(-n // width)) + _within(-(-n // width)) * width
-                n = np.diff(np.append(head, len(at)))
-                first, last = at[head], at[head + n - 1]
-                with np.errstate(over="ignore"):
-                    content = ((grams[first].view(np.uint64) * _M1) ^ (grams[last].view(np.uint64) + n.astype(np.uint64)) * _M2).view(np.int64)
-                held.append((np.full(len(head), key.as_py(), np.int64), first + 1, n, content, ~fresh[first], grams[at[fresh[at]]]))
-                size += len(head) + len(at) // 4
-                if size > 200_000:
-                    yield batch_of(held)
-                    held, size = [], 0
-            if held:
-                yield batch_of(held)
-
-    return materialise(_with_shared_anchors(docs, width).mapInArrow(rows, STRETCHES), "stretches")
-
-
-def _within(sizes: np.ndarray) -> np.ndarray:
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def repeated_ranges(docs: DataFrame, width: int = GRAM) -> DataFrame:
-    """``doc_id, pos, n``: all places whose gram also stands at an earlier (doc_id, pos), as ranges.
-
-    Repeats inside a text are told by the kernel.  A run of places with the same characters as one of an earlier text is a
-    repeat as it is; only the first run of each content is opened, and the least text of each of its grams is an aggregate.
-    """
-    rows = stretch_rows(docs, width)
-    inside = rows.where("content IS NULL").select("doc_id", "pos", "n")
-    runs = rows.where("content IS NOT NULL")
-    least = runs.groupBy("content").agg(F.min("doc_id").alias("first_doc"))
-    placed = runs.join(least, "content")
-    copies = placed.where("doc_id > first_doc").select("doc_id", "pos", "n")
-    opened = placed.where("doc_id = first_doc").select("doc_id", "pos", F.posexplode("grams").alias("i", "gram"))
-    grams = materialise(opened.select("doc_id", (F.col("pos") + F.col("i")).alias("pos"), "gram"), "grams")
-    first = grams.groupBy("gram").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    elsewhere = grams.join(first, "gram").where("doc_id > first_doc").select("doc_id", "pos", F.lit(1).alias("n"))
-    return inside.unionAll(copies).unionAll(elsewhere)
-
-
 def coverage(docs: DataFrame, width: int = GRAM) -> DataFrame:
     """``doc_id, covered_chars``: characters under some gram with an earlier copy; texts without any are left out."""
-    w = Window.partitionBy("doc_id").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = repeated_ranges(docs, width).withColumn("end", F.col("pos") + F.col("n") + F.lit(width - 1))
-    new = F.greatest(F.col("end") - F.greatest("pos", F.coalesce(F.max("end").over(w), F.lit(0))), F.lit(0))
-    return ranges.select("doc_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").alias("covered_chars"))
+    return stretches.coverage(docs, width)
 
 
 def match_runs(docs: DataFrame, width: int = GRAM) -> DataFrame:
     """Maximal runs against the nearest earlier copy: ``doc_id, pos, source_doc, source_pos, length``."""
-    nearest = Window.partitionBy("gram").orderBy("doc_id", "pos")
-    pairs = candidate_rows(docs, width).select(
-        "doc_id", "pos", F.lag("doc_id").over(nearest).alias("source_doc"), F.lag("pos").over(nearest).alias("source_pos")
-    )
-    pairs = pairs.where("source_doc IS NOT NULL").withColumn("diagonal", F.col("pos") - F.col("source_pos"))
-    line = Window.partitionBy("doc_id", "source_doc", "diagonal").orderBy("pos")
-    runs = pairs.withColumn("run", F.col("pos") - F.row_number().over(line))
-    return (
-        runs.groupBy("doc_id", "source_doc", "diagonal", "run")
-        .agg(F.min("pos").alias("pos"), F.min("source_pos").alias("source_pos"), (F.count(F.lit(1)) + width - 1).alias("length"))
-        .select("doc_id", "pos", "source_doc", "source_pos", "length")
-    )
+    return stretches.match_runs(docs, width)
 
 
 def anchor_matches(left: DataFrame, right: DataFrame, width: int = GRAM, bits: int = 3) -> DataFrame:
