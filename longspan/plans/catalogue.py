@@ -363,23 +363,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 @_query(" UNION ALL ".join(_ONE_ROW_EACH.format(name=f"'{m}'", label="method") for m in SUPPORTED))
 def codec_roundtrip(spark, sf):
     """Every method over every text, in one pass over the texts."""
-    rows = _each(_files(spark, sf), SUPPORTED, "method", lambda m, x: codecs.decode(m, codecs.encode(m, x), len(x)))
-    return rows.select("archive_id", "method", "u_len", F.md5("back").alias("digest"))
+    return _each(_files(spark, sf), SUPPORTED, "method", lambda m, x: codecs.decode(m, codecs.encode(m, x), len(x)))
 
 
 def _each(files: DataFrame, names: tuple[str, ...], label: str, there_and_back) -> DataFrame:
-    """``archive_id, label, u_len, back``: a row for each file and name, with what comes back."""
+    """``archive_id, label, u_len, digest``: a row for each file and name, with the MD5 of what comes back."""
+    import hashlib
+
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            data = [x.as_py() for x in batch.column(1)]
-            sizes = pa.array([len(x) for x in data], pa.int32())
-            for name in names:
-                back = pa.array([there_and_back(name, x) for x in data], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data)), sizes, back], ["archive_id", label, "u_len", "back"])
+            rows = []
+            for key, x in zip(batch.column(0), batch.column(1), strict=True):
+                key, x = key.as_py(), x.as_py()
+                rows += [(key, name, len(x), hashlib.md5(there_and_back(name, x)).hexdigest()) for name in names]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["archive_id", label, "u_len", "digest"])
 
-    return files.select("archive_id", "data").mapInArrow(run, f"archive_id string, {label} string, u_len int, back binary")
+    return files.select("archive_id", "data").mapInArrow(run, f"archive_id string, {label} string, u_len int, digest string")
 
 
 @_query()
@@ -387,19 +389,19 @@ def codec_sizes(spark, sf):
     """Packed size by method and level, small blocks stored, each block kept packed only if that is smaller."""
     import pyarrow as pa
 
-    kinds = [(m, level) for m in SUPPORTED[1:] for level in range(1, 10)]
+    levels = range(1, 10)
 
     def run(batches):
+        total, kept = 0, {m: [0] * len(levels) for m in SUPPORTED[1:]}
         for batch in batches:
-            data = [x.as_py() for x in batch.column(1)]
-            sizes: dict = {}
-            for m, level in kinds:  # lzo knows no levels
-                key = (m, 1 if m == "lzo" else level)
-                if key not in sizes:
-                    sizes[key] = sum(len(x) if len(x) < 64 else min(len(x), len(codecs.encode(m, x, level))) for x in data)
-            kept = [sizes[m, 1 if m == "lzo" else level] for m, level in kinds]
-            whole = pa.array([sum(map(len, data))] * len(kinds), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in kinds]), pa.array([n for _, n in kinds], pa.int32()), whole, pa.array(kept, pa.int64())], ["method", "level", "u_len", "c_len"])
+            for x in batch.column(1):
+                x = x.as_py()
+                total += len(x)
+                for m, sums in kept.items():
+                    sizes = [len(x)] * len(levels) if len(x) < 64 else codecs.sizes_by_level(m, x, levels)
+                    kept[m] = [a + min(len(x), b) for a, b in zip(sums, sizes, strict=True)]
+        rows = [(m, level, total, c) for m, sums in kept.items() for level, c in zip(levels, sums, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["method", "level", "u_len", "c_len"])
 
     parts = _files(spark, sf).select("archive_id", "data").mapInArrow(run, "method string, level int, u_len bigint, c_len bigint")
     total = parts.groupBy("method", "level").agg(F.sum("u_len").alias("u_len"), F.sum("c_len").alias("c_len"))
@@ -419,8 +421,7 @@ _FILTER_NAMES = [f for f in FILTERS if f != "none"]
 @_query(" UNION ALL ".join(_ONE_ROW_EACH.format(name=f"'{m}'", label="filter") for m in _FILTER_NAMES))
 def filter_roundtrip(spark, sf):
     """Every filter over every text and back, in one pass over the texts."""
-    rows = _each(_files(spark, sf), tuple(_FILTER_NAMES), "filter", lambda f, x: filters.apply_filter(f, filters.apply_filter(f, x, 4), 4, back=True))
-    return rows.select("archive_id", "filter", "u_len", F.md5("back").alias("digest"))
+    return _each(_files(spark, sf), tuple(_FILTER_NAMES), "filter", lambda f, x: filters.apply_filter(f, filters.apply_filter(f, x, 4), 4, back=True))
 
 
 # --- suffix order (O2) ---
