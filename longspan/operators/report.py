@@ -17,17 +17,21 @@ def token_counters(stats: DataFrame, *keys: str) -> DataFrame:
 
 def archive_summary(blocks: DataFrame) -> DataFrame:
     """Per archive: chunks, blocks, sizes in and out of the codec, the first block type, and the stage percentages."""
-    real = blocks.where("error IS NULL")
-    chunks = real.groupBy("archive_id", "chunk_no").agg(F.max("chunk_size").alias("chunk_size"))
-    original = chunks.groupBy("archive_id").agg(F.sum("chunk_size").alias("original"), F.count(F.lit(1)).alias("n_chunks"))
-    used = real.where("u_len > 0")
-    total = used.groupBy("archive_id").agg(
-        F.sum("u_len").alias("u_total"),
-        F.sum("c_len").alias("c_total"),
-        F.count(F.lit(1)).alias("n_blocks"),
-        F.min_by("c_type", F.struct("chunk_no", "stream_no", "block_no")).alias("first_type"),
+    used = F.col("u_len") > 0
+    place = F.struct("stream_no", "block_no", "c_type")
+    chunks = blocks.where("error IS NULL").groupBy("archive_id", "chunk_no").agg(
+        F.max("chunk_size").alias("original"),
+        F.sum(F.when(used, F.col("u_len"))).alias("u_total"),
+        F.sum(F.when(used, F.col("c_len"))).alias("c_total"),
+        F.count_if(used).alias("n_blocks"),
+        F.min(F.when(used, place)).alias("first"),
+    )
+    both = chunks.groupBy("archive_id").agg(
+        F.sum("original").alias("original"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("u_total", "c_total", "n_blocks")],
+        F.min(F.when(F.col("first").isNotNull(), F.struct("chunk_no", F.col("first.c_type").alias("c_type"))))["c_type"].alias("first_type"),
     )
-    both = original.join(total, "archive_id", "left").na.fill(0, ["u_total", "c_total", "n_blocks"])
     return both.select(
         "archive_id",
         "n_chunks",
@@ -44,6 +48,14 @@ def archive_summary(blocks: DataFrame) -> DataFrame:
     )
 
 
+def validated(blocks: DataFrame) -> DataFrame:
+    """``archive_id, damaged, misordered``: per archive, errors in its index and blocks out of order, from one pass over the index."""
+    index = blocks.select("archive_id", "chunk_no", "stream_no", "block_no", "next_head", "error").repartition("archive_id")
+    before = F.lag("next_head").over(Window.partitionBy("archive_id", "chunk_no", "stream_no").orderBy("block_no"))
+    marked = index.withColumn("wrong", F.col("error").isNull() & (F.col("next_head") != 0) & (F.col("next_head") <= before))
+    return marked.groupBy("archive_id").agg(F.count("error").alias("damaged"), F.count_if("wrong").alias("misordered"))
+
+
 def misordered(blocks: DataFrame) -> DataFrame:
     """Blocks whose link does not point past the link before it in their stream."""
     w = Window.partitionBy("archive_id", "chunk_no", "stream_no").orderBy("block_no")

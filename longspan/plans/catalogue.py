@@ -467,9 +467,7 @@ def stage_percentages(spark, sf):
 @_query("SELECT CAST(doc_id AS VARCHAR) AS archive_id, CAST(0 AS BIGINT) AS damaged, CAST(0 AS BIGINT) AS misordered FROM documents")
 def validate_archive(spark, sf):
     index = container.blocks(container.packed(_files(spark, sf), _ARCHIVE))
-    wrong = report.misordered(index.where("error IS NULL")).groupBy("archive_id").agg(F.count(F.lit(1)).alias("misordered"))
-    damaged = index.groupBy("archive_id").agg(F.count("error").alias("damaged"))
-    return damaged.join(wrong, "archive_id", "left").na.fill(0, ["misordered"])
+    return report.validated(index)
 
 
 @_query("SELECT CAST(doc_id AS VARCHAR) AS archive_id, md5(text) AS digest, CAST(octet_length(encode(text)) AS INTEGER) AS u_len FROM documents")
