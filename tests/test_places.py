@@ -1,10 +1,11 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from longspan.functions.tags import rolling_tags
-from longspan.operators import places
+from longspan.operators import places, report, suffixes
 from longspan.plans import catalogue
 from tests.helpers import SF
 
@@ -47,3 +48,28 @@ def test_pieces_give_what_the_whole_text_gives(spark, monkeypatch):
 def test_encrypted_archives_are_made_and_opened_once(spark):
     plan = catalogue.QUERIES["encrypted_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ("validate_archive", "stage_percentages"))
+def test_archives_are_made_once_for_their_report(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_reports_of_damaged_and_empty_archives(spark):
+    rows = [("a", 0, 0, 0, 3, 10, 10, 50, 40, None), ("a", 0, 0, 1, 4, 9, 20, 50, 30, None), ("a", 0, 1, 0, 3, 0, 0, 50, 0, None), ("a", 1, 0, 0, 5, 4, 6, 7, 0, None),
+            ("b", None, None, None, None, None, None, None, None, "cut"), ("c", 0, 0, 0, 3, 0, 0, 0, 0, None)]
+    index = spark.createDataFrame(rows, "archive_id string, chunk_no int, stream_no int, block_no int, c_type int, c_len bigint, u_len bigint, chunk_size bigint, next_head bigint, error string")
+    assert {tuple(r) for r in report.validated(index).collect()} == {("a", 0, 1), ("b", 1, 0), ("c", 0, 0)}
+    got = {r.archive_id: (r.n_chunks, r.n_blocks, r.original, r.u_total, r.c_total, r.first_type) for r in report.archive_summary(index).collect()}
+    assert got == {"a": (2, 3, 57, 36, 23, 3), "c": (1, 0, 0, 0, 0, None)}
+
+
+def test_blocks_are_coded_some_at_a_time(spark, monkeypatch):
+    """Memory of a worker: no batch that leaves a task has more than ``BYTES`` or so, however large the table's part."""
+    seen = []
+    rows = [(str(i), 0, bytearray(b"ab" * 2048)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "archive_id string, chunk_no int, data binary").coalesce(1)
+    sizes = suffixes.bwt_rows(df).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"]) for b in bs), "n bigint").collect()
+    seen = [r.n for r in sizes]
+    assert len(seen) >= 3 and max(seen) < 6_000_000
